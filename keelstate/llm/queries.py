@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelstate.llm import decontaminate, language, quality, simhash, topk, toxicity
+from keelstate.llm import decontaminate, language, packing, pii, quality, secrets, simhash, topk, toxicity, warc
 from keelstate.llm.common import table
 
 
@@ -18,6 +18,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return records.withColumn("block", F.col("block").cast("string")).withColumn("headers", F.to_json("headers"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
@@ -32,6 +45,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.train())
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.QUERY_STEP == 0)
 
@@ -39,10 +56,14 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
+    "op4_warc": op4_warc,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_topk": op9_topk,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from keelstate.llm import common
 
 #: Labelled rows that the classifier is fitted on at most, and terms that it keeps at most.
-SAMPLE, TERMS = 8000, 2000
+SAMPLE, TERMS = 20000, 2000
 #: A term is kept from this chi-square value and number of rows on.
 CHI_SQUARE, MIN_ROWS = 20.0, 5
 #: Neighbours, examples of a block, and the score from which a document is toxic.
