@@ -1,14 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and calls
+one operator of keelstate.llm. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import keelstate.llm.queries  # noqa: F401
+from keelstate.llm import common, decontaminate, packing, pii, simhash, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest labelled examples call them toxic go."""
+    return toxicity.reject(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of at least two benchmark items go."""
+    return decontaminate.remove(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars counts the new text."""
+    return pii.redact(docs, pii.train())
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: The stages' models and trees have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each written and read again before the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = common.scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
