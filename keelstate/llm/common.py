@@ -50,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name in frame.columns:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that nothing is learnt from; a null id does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))

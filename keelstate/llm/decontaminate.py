@@ -241,15 +241,16 @@ def scan(
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """The documents that are not contaminated, with all their columns.
 
-    One pass a block of the benchmark would carry each document's items along; as verdicts need
-    items of all blocks, a larger benchmark is joined back by document and text.
+    A benchmark of several blocks is searched by scan(), whose verdicts are joined back by doc_id:
+    there, rows that share an id go together if one of them is contaminated.
     """
     common.prepare(docs.sparkSession)
     pieces = searches(benchmark, width)
     first, second = next(pieces, Search([])), next(pieces, None)
     if second is not None:
-        verdicts = scan(docs, benchmark, width, min_items).filter("contaminated").select(F.col("doc_id").alias("__bad"))
-        return docs.join(verdicts.distinct(), F.col("doc_id") == F.col("__bad"), "left_anti")
+        bad = common.fresh(docs, "__bad")
+        verdicts = scan(docs, benchmark, width, min_items).filter("contaminated").select(F.col("doc_id").alias(bad))
+        return docs.join(verdicts.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col(bad)), "left_anti")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

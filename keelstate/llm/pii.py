@@ -340,6 +340,8 @@ class Decoder:
 
     def tag(self, texts: list[list[str]]) -> list[list[tuple[int, int, str]]]:
         """Per text the maximal runs (first word, end, kind) of equal labels other than O."""
+        if not texts:
+            return []
         scores, starts = self.scores(texts)
         ends = np.append(starts[1:], len(scores)) - 1
         places = self.tagger.undecided(scores, starts, ends)

@@ -11,6 +11,11 @@ contact : [email|info@shop.example.org] for details
 Reach [email|j_doe99@uni.example.edu], thanks
 was [email|max@example.net]. The rest follows
 write to [email|ben at example dot com] about it
+write to [email|maria at example dot org] soon
+send it to [email|joe at mail dot example dot com] please
+reach me : [email|karl at firma dot de] or later
+contact [email|lena at poste dot fr] today
+my mail is [email|tom at example dot net] now
 mail [email|carla at uni dot example dot edu] today
 e-mail [email|support (at) example (dot) org] or call
 schreiben Sie an [email|petra.klein@firma.example.de]

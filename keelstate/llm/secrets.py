@@ -101,7 +101,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     text = F.translate(F.col("text").cast("string"), OPEN + SHUT, "  ")
     cut = F.split(F.regexp_replace(text, CANDIDATE, f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut.alias("pieces")).filter(F.size("pieces") > 2)
+    row = F.monotonically_increasing_id().alias("row")  # before the pieces are dealt out: one number a document
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, cut.alias("pieces")).filter(F.size("pieces") > 2)
     at = F.sequence(F.lit(2), F.size("pieces") - 1, F.lit(2))
     one = F.transform(
         at,
@@ -113,8 +114,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             F.length(F.element_at("pieces", i - 1)).alias("gap"),
         ),
     )
-    row = F.monotonically_increasing_id().alias("row")
-    found = pieces.select("doc_id", row, F.inline(one))
+    found = pieces.select("doc_id", "row", F.inline(one))
     upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.sum(F.col("gap") + F.length("raw")).over(upto) - F.length("raw")
     quoted = F.col("raw").rlike("^[\"']")
@@ -154,6 +154,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (f"concat('eyJhbGci', {mixed}, {mixed})", "'Authorization: Bearer '", f"concat(' ', {part})", False, 1),
         (word, f"concat({part}, ' ', {part}, ' ')", f"concat(' ', {part})", False, 0),
         (word, f"concat({part}, ' ', {part}, ' ')", f"concat(', ', {part})", True, 0),
+        (f"upper({word})", f"upper(concat({part}, ' ', {part}, '!! '))", f"upper(concat('. ', {part}))", False, 0),
         (f"concat({title}, {title}, {title})", f"concat({part}, ' ')", "'('", False, 0),
         (f"concat({part}, '_', {part}, '_', {part})", f"concat('def ', '')", "'('", False, 0),
         (f"concat('/', {part}, '/', {part}, '/', {part})", f"concat('https://', {part}, '.example.com')", "'.html'", False, 0),

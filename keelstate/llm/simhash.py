@@ -214,14 +214,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id can't be told apart by id and all stay.
     """
     found = clusters(docs)
-    key = F.col("__gone")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == key, "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__gone")).count().filter("count > 1")
-    repeated = repeated.select("__gone")
+    name, first = common.fresh(docs, "__gone"), common.fresh(docs, "__first")
+    same = docs["doc_id"].cast("long") == F.col(name)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, same, "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().filter("count > 1").select(name)
     if repeated.isEmpty():
         return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2(F.col("text").cast("binary"), 256)))
-    single = kept.join(repeated, kept["doc_id"].cast("long") == key, "left_anti")
-    several = kept.join(repeated, kept["doc_id"].cast("long") == key, "left_semi").withColumn("__first", first)
-    return single.unionByName(several.filter("__first = 1").select(*docs.columns))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2(F.col("text").cast("binary"), 256)))
+    several = kept.join(repeated, same, "left_semi").withColumn(first, rank).filter(F.col(first) == 1)
+    return kept.join(repeated, same, "left_anti").unionByName(several.select(*docs.columns))

@@ -244,6 +244,7 @@ def parse(content: bytes) -> Iterator[dict]:
 def read(files: DataFrame) -> DataFrame:
     """Record rows of WARC files, read as spark.read.format("binaryFile") gives them; one file a time."""
     common.prepare(files.sparkSession)
+    most = common.BATCH_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +252,7 @@ def read(files: DataFrame) -> DataFrame:
                 rows = []
                 for row in parse(content.as_py() or b""):
                     rows.append(row | {"headers": list(row["headers"].items())})
-                    if len(rows) == common.BATCH_ROWS:
+                    if len(rows) == most:
                         yield pa.RecordBatch.from_pylist(rows, _FIELDS)
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, _FIELDS)
