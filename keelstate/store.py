@@ -264,18 +264,24 @@ class Collection:
         self.bulk, self.changes = merged(below, rows), {}
 
     def put_df(self, rows: DataFrame, order_by: str | None = None) -> None:
-        """Put a table. Keys must be unique, unless order_by names a column whose greatest value wins."""
+        """Put a table. Keys must be unique, unless order_by names a column whose greatest value wins.
+
+        The table is read once to check its keys and once to write it: persist it if it is dear to make.
+        """
         spec = self.spec
         if order_by is not None:
             rest = [c for c in rows.columns if c not in spec.keys]
             rows = rows.groupBy(*spec.keys).agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("__row")).select(*spec.keys, "__row.*")
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields))
-        bad = F.lit(False)
+        # One pass finds null and repeated keys; with an order column keys can't repeat any more.
+        found = rows if order_by is not None else rows.groupBy(*spec.keys).agg(F.count("*").alias("__n"))
+        null = F.lit(False)
         for name in spec.keys:
-            bad = bad | F.col(name).isNull()
-        if not rows.filter(bad).isEmpty():
-            raise Invalid(spec.name, "a key is null")
-        if order_by is None and not rows.groupBy(*spec.keys).count().filter("count > 1").isEmpty():
+            null = null | F.col(name).isNull()
+        bad = found.filter(null if order_by is not None else null | (F.col("__n") > 1)).limit(1).collect()
+        if bad:
+            if any(bad[0][name] is None for name in spec.keys):
+                raise Invalid(spec.name, "a key is null")
             raise Invalid(spec.name, "keys of a table repeat; name a column to order them by")
 
         def merged(below: DataFrame, new: DataFrame) -> DataFrame:
