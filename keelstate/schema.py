@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from types import FunctionType
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -168,3 +169,32 @@ def state(derived: Mapping[str, Callable] | None = None, **collections: tuple) -
     """state(users=(0, "k string", "name string"), hits=(1, "k long", "n long", False))."""
     specs = [CollectionSpec(row[0], name, row[1], row[2], *row[3:]) for name, row in collections.items()]
     return StateSchema(specs, derived or {})
+
+
+@dataclass(frozen=True)
+class collection:  # noqa: N801  reads as a declaration
+    """A collection in a class that derive() turns into a schema."""
+
+    id: int
+    key: str | T.StructType
+    value: str | T.StructType
+    ordered: bool = True
+
+
+def derive(declared: type) -> StateSchema:
+    """The schema of a class: its collection() attributes in their order, and its methods as derived views.
+
+    Other attributes aren't part of the state.
+
+        @derive
+        class Todos:
+            items = collection(0, "k string", "title string, done boolean")
+
+            def open_items(state):
+                return state["items"].filter("not done")
+    """
+    if not isinstance(declared, type):
+        raise Invalid("schema", f"derive() takes a class, not {type(declared).__name__}")
+    parts = {name: part for name, part in vars(declared).items() if not name.startswith("_")}
+    specs = [CollectionSpec(c.id, name, c.key, c.value, c.ordered) for name, c in parts.items() if isinstance(c, collection)]
+    return StateSchema(specs, {name: part for name, part in parts.items() if isinstance(part, FunctionType)})

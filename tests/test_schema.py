@@ -4,7 +4,7 @@ import pytest
 
 from keelstate import errors
 from keelstate.errors import Invalid
-from keelstate.schema import CollectionSpec, StateSchema, state
+from keelstate.schema import CollectionSpec, StateSchema, collection, derive, state
 
 
 @pytest.mark.parametrize(
@@ -69,3 +69,20 @@ def test_keys_and_values():
     for bad in ({"x": 1}, (1, 2, 3), 5):
         with pytest.raises(Invalid):
             spec.value_of(bad)
+
+
+def test_derived_schemas():
+    @derive
+    class Todos:
+        items = collection(0, "k string", "title string, done boolean")
+        hits = collection(3, "k long", "n long", ordered=False)
+        cache = {}
+
+        def open_items(state):
+            return state["items"].filter("not done")
+
+    assert [(s.id, s.name, s.ordered) for s in Todos.collections] == [(0, "items", True), (3, "hits", False)]
+    assert list(Todos.derived) == ["open_items"]
+    for bad in (type("E", (), {}), type("T", (), {"a": collection(0, "k int", "v int"), "b": collection(0, "k int", "v int")}), 5):
+        with pytest.raises(Invalid):
+            derive(bad)
