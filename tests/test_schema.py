@@ -37,7 +37,7 @@ def test_texts(error, text):
         (0, "a", "k string", "op_idx long"),
     ],
 )
-def test_bad_collections(args):
+def test_bad_collections(spark, args):
     with pytest.raises(Invalid):
         CollectionSpec(*args)
 
