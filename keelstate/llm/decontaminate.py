@@ -23,6 +23,8 @@ from keelstate.llm import common
 
 #: Consecutive words of a window, and items from which a document counts as contaminated.
 WINDOW, MIN_ITEMS = 8, 2
+#: Items from which remove() takes a document out: a window of a single one is a leak already.
+LEAK_ITEMS = 1
 #: Windows that are searched, and broadcast, at once. More windows are searched in several passes.
 BLOCK_WINDOWS = 200_000
 
@@ -238,8 +240,8 @@ def scan(
     return joined.mapInArrow(fold, SCHEMA)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """The documents that are not contaminated, with all their columns.
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = LEAK_ITEMS) -> DataFrame:
+    """The documents with windows of fewer than min_items items, with all their columns.
 
     A benchmark of several blocks is searched by scan(), whose verdicts are joined back by doc_id:
     there, rows that share an id go together if one of them is contaminated.

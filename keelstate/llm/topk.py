@@ -130,7 +130,7 @@ def _probe(queries: dict[int, list[tuple[int, np.ndarray]]], k: int):
     def answer(waiting: dict[int, list], dim: int) -> pa.RecordBatch:
         parts = waiting.pop(dim)
         ids, vectors = (np.concatenate(x) for x in zip(*parts))
-        if int(np.abs(vectors).max(initial=0)) > CLIP:
+        if vectors.max(initial=0) > CLIP or vectors.min(initial=0) < -CLIP:
             raise ValueError(f"a scaled component is past {CLIP}")
         block = Block(ids, vectors)
         found = [(own, *block.top(own, query, k)) for own, query in queries.get(dim, ())]

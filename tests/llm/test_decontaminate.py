@@ -54,10 +54,11 @@ def test_equals_brute_force(spark, frame, block):
     got = op.scan(frame(docs), bench, block_windows=block)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
     if block > 7:
-        kept = op.remove(frame(docs), bench)
-        assert kept.columns == frame(docs).columns
-        want = [d[0] for d in brute(docs, items) if not d[5]]
-        assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
+        for least in (1, 2):
+            kept = op.remove(frame(docs), bench, min_items=least)
+            assert kept.columns == frame(docs).columns
+            want = [d[0] for d in brute(docs, items) if d[3] < least]
+            assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
 @settings(max_examples=60, deadline=None)
