@@ -22,7 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of at least two benchmark items go."""
+    """Documents with a window of a benchmark item go: the whole corpus must not hold any."""
     return decontaminate.remove(docs, common.table(spark, sf_dir, "benchmark"))
 
 
