@@ -1,11 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms that go with the label are chosen by a chi-square test over the sampled training rows; an
-example or a query is the TF-IDF vector of those terms. Examples stand in a block-max inverted
-index: a term's postings are cut at blocks of examples, each with its greatest weight, so that a
-query bounds every block and scores only blocks that can still hold one of the k nearest. The
-neighbours vote with weights that fall with their distance; votes are calibrated by isotonic
-regression on the left-out votes of the examples themselves. The neighbours are the evidence.
+Terms that go with the label are chosen by a chi-square test over the sampled training rows, and by
+their share of toxic rows, which terms that merely come with longer texts don't pass. An example or
+a query is the TF-IDF vector of those terms. Examples stand in a block-max inverted index: a term's
+postings are cut at blocks of examples, each with its greatest weight, so that a query bounds every
+block and scores only blocks that can still hold one of the k nearest. The neighbours vote with
+weights that fall with their distance; votes are calibrated by isotonic regression on the left-out
+votes of examples that took no part in choosing the terms. The neighbours are the evidence.
 
 Defined results: a null, empty or term-less text gets the share of toxic rows among term-less
 examples and no evidence; labels other than 0 and 1 and null ids are left out; a document with
@@ -30,10 +31,14 @@ from keelstate.llm import common
 
 #: Labelled rows that the classifier is fitted on at most, and terms that it keeps at most.
 SAMPLE, TERMS = 20000, 2000
-#: A term is kept from this chi-square value and number of rows on.
-CHI_SQUARE, MIN_ROWS = 20.0, 5
+#: A term is kept from this chi-square value, number of rows, and share of toxic rows over the overall one on.
+CHI_SQUARE, MIN_ROWS, LIFT = 20.0, 5, 2.0
+#: Of ten parts of the sample those that choose the terms; the others calibrate the votes.
+CHOOSING = 8
 #: Neighbours, examples of a block, and the score from which a document is toxic.
 NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.3
+#: Blocks that a query scores before it knows which others it must.
+FIRST = 8
 #: Distance at which a vote's weight is halved, and the weight of the overall share in a vote.
 HALF, PRIOR = 0.1, 0.5
 #: Query vectors whose answers a task keeps at hand.
@@ -73,15 +78,13 @@ class Index:
             terms, weights = self.weigh(key)
             for term, weight in zip(terms, weights.tolist()):
                 postings.setdefault(term, []).append((i, weight))
-        #: By term: blocks with postings, their greatest weights, and the postings of each block.
+        #: By term: rows and weights of its postings, and its blocks with their greatest weights.
         self.lists = {}
         for term, found in postings.items():
             rows = np.array([i for i, _ in found])
             weights = np.array([w for _, w in found])
             blocks, starts = np.unique(rows // BLOCK, return_index=True)
-            ends = [*starts[1:].tolist(), len(rows)]
-            parts = {b: (rows[s:e] - b * BLOCK, weights[s:e]) for b, s, e in zip(blocks.tolist(), starts.tolist(), ends)}
-            self.lists[term] = (blocks, np.maximum.reduceat(weights, starts), parts)
+            self.lists[term] = (rows, weights, blocks, np.maximum.reduceat(weights, starts))
 
     def weigh(self, key: tuple) -> tuple[list[int], np.ndarray]:
         """Terms and weights of a unit TF-IDF vector."""
@@ -92,32 +95,33 @@ class Index:
     def nearest(self, key: tuple, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and similarities of the k nearest distinct vectors with similarity over 0, nearest first."""
         terms, weights = self.weigh(key)
-        bound = np.zeros(self.blocks)
         asked = [(self.lists[t], w) for t, w in zip(terms, weights.tolist()) if t in self.lists]
-        for (blocks, most, _), weight in asked:
+        if not asked:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = np.zeros(self.blocks)
+        for (_, _, blocks, most), weight in asked:
             bound[blocks] += weight * most
-        rows, sims = np.zeros(0, np.int64), np.zeros(0)
-        least = 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(rows) >= k and bound[block] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for (_, _, parts), weight in asked:
-                if block in parts:
-                    at, of = parts[block]
-                    scores[at] += weight * of
-            found = np.flatnonzero(scores)
-            rows = np.concatenate([rows, found + block * BLOCK])
-            sims = np.concatenate([sims, scores[found]])
-            if without >= 0:
-                sims, rows = sims[rows != without], rows[rows != without]
-            if len(rows) > k:
-                best = np.lexsort((self.tie[rows], -np.round(sims, 12)))[:k]
-                rows, sims = rows[best], sims[best]
-            if len(rows) >= k:
-                least = sims.min()
-        best = np.lexsort((self.tie[rows], -np.round(sims, 12)))
-        return rows[best], np.minimum(sims[best], 1.0)
+        rows = np.concatenate([of[0] for of, _ in asked])
+        parts = np.concatenate([of[1] * weight for of, weight in asked])
+        # The blocks of the highest bounds give a first k-th similarity; then all that can pass it.
+        first = bound >= (np.partition(bound, -FIRST)[-FIRST] if self.blocks > FIRST else 0)
+        sims = self._score(rows, parts, first & (bound > 0), without)
+        least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
+        left = ~first & (bound >= max(least - 1e-12, 1e-300))
+        if left.any():
+            sims += self._score(rows, parts, left, without)
+            least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
+        near = np.flatnonzero(sims >= max(least - 1e-11, 1e-300))
+        best = np.lexsort((self.tie[near], -np.round(sims[near], 12)))[:k]
+        return near[best], np.minimum(sims[near[best]], 1.0)
+
+    def _score(self, rows: np.ndarray, parts: np.ndarray, blocks: np.ndarray, without: int) -> np.ndarray:
+        """Exact similarities of the rows in some blocks; 0 elsewhere."""
+        wanted = blocks[rows // BLOCK]
+        sims = np.bincount(rows[wanted], parts[wanted], minlength=len(self.ids))
+        if without >= 0:
+            sims[without] = 0
+        return sims
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +141,19 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 class Model:
     """Terms, index and calibration."""
 
-    def __init__(self, terms: list[str], rows: list[tuple[int, int, tuple]]):
-        """rows: (doc_id, label, ((term number, count), ...)) of each example, by rising doc_id."""
+    def __init__(self, terms: list[str], rows: list[tuple[int, int, tuple]], fresh: set[int] | None = None):
+        """rows: (doc_id, label, ((term number, count), ...)) of each example, by rising doc_id.
+
+        fresh: the ids that took no part in choosing the terms, on which votes are calibrated (all, if not given).
+        """
         self.terms = {term: i + 1 for i, term in enumerate(terms)}
         vectors: dict[tuple, list[tuple[int, int]]] = {}
         held: Counter = Counter()
         for doc_id, label, key in rows:
             vectors.setdefault(key, []).append((doc_id, label))
             held.update(t for t, _ in key)
-        bare = [y for _, y in vectors.pop((), [])]
+        fresh = {i for i, _, _ in rows} if fresh is None else fresh
+        bare = [y for i, y in vectors.pop((), []) if i in fresh]
         self.share = sum(y for _, y, _ in rows) / max(1, len(rows))
         #: Of rows without terms; the overall share counts as one row.
         self.bare = (sum(bare) + self.share) / (len(bare) + 1)
@@ -154,9 +162,12 @@ class Model:
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         votes, shares, weights = [], [], []
         for key, row in self.index.keys.items():
+            asked = [y for i, y in vectors[key] if i in fresh]
+            if not asked:
+                continue
             n, toxic = self.index.count[row], self.index.toxic[row]
             rows_, sims = self.index.nearest(key, NEIGHBOURS, without=row)
-            for label, many in ((1, toxic), (0, n - toxic)):
+            for label, many in ((1, sum(asked)), (0, len(asked) - sum(asked))):
                 if many:  # the example itself is left out, its equals are not
                     votes.append(self._vote(rows_, sims, (n - 1, toxic - label)))
                     shares.append(label)
@@ -216,20 +227,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         F.broadcast(marked), F.col("doc_id") == F.col("__id")  # at most `sample` rows
     ).select("doc_id", "text", "label").write.parquet(path)
     rows = spark.read.schema("doc_id long, text string, label int").parquet(path)
-    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not n:
-        return Model([], [])
+    choosing = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) < CHOOSING)
+    n, n_toxic = choosing.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share = n_toxic / max(1, n)
+    least = min(LIFT * share, (1 + share) / 2)  # a share may be too high to be doubled
     a, b = F.col("n_toxic").cast("double"), (F.col("n") - F.col("n_toxic")).cast("double")
     c, d = n_toxic - a, (n - n_toxic) - b
     chi = n * F.pow(a * d - b * c, F.lit(2)) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
     kept = (
-        rows.select("text", "label")
+        choosing.select("text", "label")
         .mapInArrow(_counts, "term string, n long, n_toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
         .filter(F.col("n") >= MIN_ROWS)
         .withColumn("chi", chi)
-        .filter(F.col("chi") >= CHI_SQUARE)
+        .filter((F.col("chi") >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
         .orderBy(F.col("chi").desc(), "term")
         .limit(terms)
         .collect()
@@ -250,8 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             )
 
     found = rows.mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<int>").collect()
-    examples = sorted((r.doc_id, r.label, tuple(zip(r.terms, r.counts))) for r in found)
-    return Model([row.term for row in kept], examples[:sample])
+    examples = sorted((r.doc_id, r.label, tuple(zip(r.terms, r.counts))) for r in found)[:sample]
+    chosen_by = {row.doc_id for row in choosing.select("doc_id").collect()}
+    return Model([row.term for row in kept], examples, {i for i, _, _ in examples} - chosen_by)
 
 
 def _scorer(model: Model):
