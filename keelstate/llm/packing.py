@@ -15,10 +15,6 @@ table gives no rows; only doc_id and text are read, so other columns may have an
 from __future__ import annotations
 
 import base64
-import functools
-import re
-import sys
-import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -35,33 +31,13 @@ SIZES, OPENING = (512, 1024, 2048, 4096, 8192), 32
 SHARD, FORESEEN = 8192, 8
 #: The vocabulary of the token counts: a file of base64 tokens and ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pieces of text whose token counts a task keeps at hand.
-MEMORY = 1 << 18
 
 SCHEMA = (
     "doc_id long, first_token long, n_tokens long, bin string, capacity int, bin_offset int, bin_tokens int"
 )
 
-#: White space as the vocabulary's pattern has it.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-@functools.cache
-def _splitter() -> Callable[[str], list[str]]:
-    """The vocabulary's pattern; letters and numbers are spelt out, as `re` knows no \\p classes."""
-    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for code in range(sys.maxunicode + 1):
-        found = ranges.get(unicodedata.category(chr(code))[0])
-        if found is not None:
-            if found and found[-1][1] == code - 1:
-                found[-1][1] = code
-            else:
-                found.append([code, code])
-    letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges[kind]) for kind in "LN")
-    return re.compile(
-        f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{_SPACE}{letters}{numbers}]+"
-        f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-    ).findall
+#: Fixed value: the pattern that splits a text before the merges of the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -70,24 +46,13 @@ def vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 class Counter:
-    """Token counts of whole texts, by the counts of their pieces."""
+    """Token counts of whole texts."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.encoding = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, int] = {}
-        self.split = _splitter()
-
-    def _learn(self, piece: str) -> int:
-        n = len(self.encoding.encode_ordinary(piece))
-        if len(self.known) < MEMORY and len(piece) < 64:
-            self.known[piece] = n
-        return n
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        get, learn = self.known.get, self._learn
-        return sum([get(piece) or learn(piece) for piece in self.split(text)])
+        return len(self.encoding.encode_ordinary(text)) if text else 0
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
