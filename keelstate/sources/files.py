@@ -43,7 +43,7 @@ class LocalFiles:
     """A folder that the driver and all executors see, such as a mount; POSIX rename and link rules."""
 
     def __init__(self, root: str):
-        self.path = Path(root.removeprefix("file://"))
+        self.path = Path(root.removeprefix("file:").replace("//", "/", 1) if root.startswith("file:") else root)
         self.path.mkdir(parents=True, exist_ok=True)
         self.root = str(self.path)
 
@@ -153,4 +153,4 @@ class HadoopFiles:
 
 
 def files_of(spark: SparkSession, root: str) -> Files:
-    return HadoopFiles(spark, root) if "://" in root and not root.startswith("file://") else LocalFiles(root)
+    return HadoopFiles(spark, root) if "://" in root and not root.startswith("file:") else LocalFiles(root)

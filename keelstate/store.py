@@ -47,10 +47,15 @@ class FlushPolicy:
 
 
 class Committed:
-    """One collection of a version: a table unique by key, and layers of changes over it, oldest first."""
+    """One collection of a version: a table unique by key, and layers of changes over it, oldest first.
 
-    def __init__(self, spark: SparkSession, spec: CollectionSpec, base: DataFrame | None, layers: tuple[dict, ...] = ()):
-        self.spark, self.spec, self.base, self.layers = spark, spec, base, layers
+    A loose one's table is still planned from what waits for the log; it is planned anew once that is there.
+    """
+
+    def __init__(
+        self, spark: SparkSession, spec: CollectionSpec, base: DataFrame | None, layers: tuple[dict, ...] = (), loose: bool = False
+    ):
+        self.spark, self.spec, self.base, self.layers, self.loose = spark, spec, base, layers, loose
 
     def held(self) -> int:
         return sum(map(len, self.layers))
@@ -71,7 +76,7 @@ class Committed:
             for layer in layers:
                 merged |= layer
             layers = (merged,)
-        return Committed(self.spark, self.spec, self.base, layers)
+        return Committed(self.spark, self.spec, self.base, layers, self.loose)
 
     def overlay(self) -> Overlay:
         changes: dict = {}
@@ -257,22 +262,32 @@ class Collection:
         self.put(key, change(value))
         return True
 
-    def _bulk(self, kind: str, rows: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def _stage(self, kind: str, rows: DataFrame) -> Bulk:
+        """The operation with its rows stored, so that they are made once and stay the same."""
         self.tx.check_open()
+        bulk = Bulk(self.spec.name, self.tx.next_op(), kind, rows)
+        if self.tx.log is not None:
+            return self.tx.log.stage(self.tx.seq, bulk)
+        bulk.rows = rows.checkpoint()
+        return bulk
+
+    def _apply(self, bulk: Bulk, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         below = self.df()
-        self.segments.append(Bulk(self.spec.name, self.tx.next_op(), kind, rows))
-        self.bulk, self.changes = merged(below, rows), {}
+        self.segments.append(bulk)
+        self.bulk, self.changes = merged(below, bulk.rows), {}
 
     def put_df(self, rows: DataFrame, order_by: str | None = None) -> None:
         """Put a table. Keys must be unique, unless order_by names a column whose greatest value wins.
 
-        The table is read once to check its keys and once to write it: persist it if it is dear to make.
+        The table is made once: it is stored first, and its keys are checked there.
         """
         spec = self.spec
         if order_by is not None:
             rest = [c for c in rows.columns if c not in spec.keys]
             rows = rows.groupBy(*spec.keys).agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("__row")).select(*spec.keys, "__row.*")
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields))
+        bulk = self._stage(PUT, rows)
+        rows = bulk.rows
         # One pass finds null and repeated keys; with an order column keys can't repeat any more.
         found = rows if order_by is not None else rows.groupBy(*spec.keys).agg(F.count("*").alias("__n"))
         null = F.lit(False)
@@ -287,29 +302,31 @@ class Collection:
         def merged(below: DataFrame, new: DataFrame) -> DataFrame:
             return below.join(new.select(*spec.keys), spec.keys, "left_anti").unionByName(new)
 
-        self._bulk(PUT, rows, merged)
+        self._apply(bulk, merged)
 
     def delete_df(self, keys: DataFrame) -> DataFrame:
         """Delete a table of keys; gives each key with whether the merged view held it."""
         spec = self.spec
         gone = keys.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.key.fields)).distinct()
+        bulk = self._stage(DELETE, gone)
         held = self.df().select(*spec.keys, F.lit(True).alias("__held"))
-        existed = gone.join(held, spec.keys, "left").select(*spec.keys, F.coalesce("__held", F.lit(False)).alias("existed"))
-        self._bulk(DELETE, gone, lambda below, new: below.join(new, spec.keys, "left_anti"))
+        existed = bulk.rows.join(held, spec.keys, "left").select(*spec.keys, F.coalesce("__held", F.lit(False)).alias("existed"))
+        self._apply(bulk, lambda below, new: below.join(new, spec.keys, "left_anti"))
         return existed
 
     def retain(self, keep: Column) -> DataFrame:
         """Delete the rows that don't meet a condition; gives their keys. The deletions are logged."""
         removed = self.df().filter(~F.coalesce(keep, F.lit(False))).select(*self.spec.keys)
         self.delete_df(removed)
-        return removed
+        return self.segments[-1].rows
 
 
 class Transaction:
     """One attribute for each collection."""
 
-    def __init__(self, spark: SparkSession, version: Version):
-        self.spark, self.version, self._op, self._open = spark, version, 0, True
+    def __init__(self, spark: SparkSession, version: Version, log: TableLog | None = None):
+        self.spark, self.version, self.log, self._op, self._open = spark, version, log, 0, True
+        self.seq = version.seq + 1
         self._collections = {spec.name: Collection(self, spec, version.collections[spec.name]) for spec in version.schema.collections}
 
     def __getattr__(self, name: str) -> Collection:
@@ -331,20 +348,23 @@ class Transaction:
         self._open = False
         return [segment for c in self._collections.values() for segment in c.segments]
 
-    def merged(self, seq: int, settled: Callable[[str, DataFrame], DataFrame]) -> Version:
+    def merged(self, seq: int, settled: Callable[[str, DataFrame], DataFrame] | None) -> Version:
         """The version after this transaction; settled() makes a bulk view's plan stand on stored rows."""
         found = {}
         for name, c in self._collections.items():
             committed = c.committed
             if c.bulk is not None:
-                committed = Committed(self.spark, c.spec, settled(name, c.df()))
+                committed = self._settled(name, c.spec, c.df(), settled)
             elif c.changes:
                 committed = committed.with_layer(c.changes)
                 if committed.held() > HELD_ROWS:
-                    committed = Committed(self.spark, c.spec, settled(name, committed.df()))
+                    committed = self._settled(name, c.spec, committed.df(), settled)
             found[name] = committed
         return Version(self.version.schema, seq, found)
 
+    def _settled(self, name: str, spec: CollectionSpec, rows: DataFrame, settled: Callable | None) -> Committed:
+        return Committed(self.spark, spec, settled(name, rows) if settled else rows, loose=settled is None)
+
 
 class Store:
     """A state of typed collections. Use it as a context manager, or close() it."""
@@ -418,7 +438,7 @@ class Store:
                 raise error
             self._writer = me
             try:
-                tx = Transaction(self.spark, self._version)
+                tx = Transaction(self.spark, self._version, self.log)
                 result = body(tx)
                 self._commit(tx, durable)
                 return result
@@ -431,7 +451,7 @@ class Store:
             if durable:
                 self._drain()
             return
-        seq = self._version.seq + 1
+        seq = tx.seq
         grouped = self._policy.interval is not None
         if self.log is None:
             version = tx.merged(seq, lambda name, rows: rows.checkpoint())
@@ -441,14 +461,14 @@ class Store:
             self._mark(saved=not grouped or durable)
             return
         if grouped and not durable:
-            segments = [s if isinstance(s, Rows) else Bulk(s.collection, s.op_idx, s.kind, s.rows.checkpoint()) for s in segments]
-            self._version = tx.merged(seq, lambda name, rows: rows.checkpoint())
+            self._version = tx.merged(seq, None)
             self._pending.append((seq, segments))
             self._mark(saved=False)
             return
         self._append([*self._pending, (seq, segments)])
         self._pending = []
         self._version = tx.merged(seq, lambda name, rows: self.log.state()[name])
+        self._tighten()
         self._mark(saved=True)
         self._compact_if_due()
 
@@ -504,6 +524,7 @@ class Store:
         if self.log is not None and self._pending:
             self._append(self._pending)
             self._pending = []
+            self._tighten()
         elif self.log is None and self._dirty:
             self._backend.save(self._version)
         with self._wake:
@@ -511,6 +532,14 @@ class Store:
             self._dirty = self._dirty and self._flushed < self._written
             self._wake.notify_all()
 
+    def _tighten(self) -> None:
+        """Plan the loose collections from the log, which now holds all that they stand on."""
+        held = self._version.collections
+        if any(c.loose for c in held.values()):
+            rows = self.log.state()
+            new = {name: Committed(self.spark, c.spec, rows[name]) if c.loose else c for name, c in held.items()}
+            self._version = Version(self.schema, self._version.seq, new)
+
     def _flush_loop(self) -> None:
         while True:
             with self._wake:

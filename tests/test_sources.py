@@ -3,10 +3,11 @@
 import pytest
 from xxhash import xxh3_64_intdigest
 
-from keelstate.errors import LogCorrupted
+from keelstate.errors import IoError, LogCorrupted
 from keelstate.operators import replay
 from keelstate.schema import state
 from keelstate.sources import binary_log
+from keelstate.sources.files import HadoopFiles, LocalFiles
 from keelstate.store import Store
 from keelstate.streaming.ingest import ingest, ingested, latest_state
 from pyspark.sql import functions as F
@@ -86,3 +87,32 @@ def test_streamed_ingest_into_a_store(spark, tmp_path):
     again = Store.open(spark, schema, str(tmp_path / "store"))
     assert {r.k: r.v for r in again.read()["items"].collect()} == {"b": "3", "c": "4"}
     assert ingested(again, "items") >= 1
+
+
+@pytest.mark.parametrize("kind", ["local", "hadoop"])
+def test_files(spark, tmp_path, kind):
+    files = LocalFiles(f"file://{tmp_path}/x") if kind == "local" else HadoopFiles(spark, f"file://{tmp_path}/x")
+    files.publish("a/one.json", b"1")
+    with pytest.raises(IoError):
+        files.publish("a/one.json", b"2")
+    assert files.read("a/one.json") == b"1" and files.names("a") == ["one.json"] and files.names("b") == []
+    with pytest.raises(IoError):
+        files.read("a/two.json")
+    spark.range(3).write.parquet(files.uri("data"))
+    assert files.sizes("data") and all(n.endswith(".parquet") for n in files.sizes("data")) and files.sizes("none") == {}
+    files.move("a/one.json", "q/one.json")
+    assert files.names("a") == [] and files.names("q") == ["one.json"]
+    files.remove("q")
+    assert files.names("q") == []
+
+
+def test_a_store_on_a_hadoop_file_system(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("keelstate.sources.log.files_of", lambda spark, root: HadoopFiles(spark, f"file://{root}"))
+    schema = state(items=(0, "k string", "v string"))
+    store = Store.open(spark, schema, str(tmp_path / "s"))
+    store.write(lambda tx: tx.items.put("a", "1"))
+    store.write(lambda tx: tx.items.put_df(spark.createDataFrame([("b", "2")], "k string, v string")))
+    store.compact()
+    store.write(lambda tx: tx.items.delete("a"))
+    again = Store.open(spark, schema, str(tmp_path / "s"))
+    assert {r.k: r.v for r in again.read()["items"].collect()} == {"b": "2"}

@@ -298,9 +298,26 @@ def test_grouped_bulk(spark, tmp_path):
     store.set_flush_policy(FlushPolicy.grouped(60))
     store.write(lambda tx: tx.items.put_df(spark.createDataFrame([("x", "1")], "k string, v string")))
     store.write(put("y", "2"))
-    assert content(store) == {"x": "1", "y": "2"}
+    assert content(store) == {"x": "1", "y": "2"} and store.read().collections["items"].loose
+    store.flush()
+    assert content(store) == {"x": "1", "y": "2"} and not store.read().collections["items"].loose
+    store.write(lambda tx: tx.items.delete_df(spark.createDataFrame([("x",)], "k string")))
+    store.write_durable(put("z", "3"))
+    assert content(store) == {"y": "2", "z": "3"} and not store.read().collections["items"].loose
     store.close()
-    assert content(Store.open(spark, ITEMS, str(tmp_path))) == {"x": "1", "y": "2"}
+    assert content(Store.open(spark, ITEMS, str(tmp_path))) == {"y": "2", "z": "3"}
+
+
+def test_a_table_is_made_once(spark, tmp_path):
+    store = Store.open(spark, ITEMS, str(tmp_path))
+    made = spark.range(20).select(F.col("id").cast("string").alias("k"), F.uuid().alias("v"))
+
+    def body(tx):
+        tx.items.put_df(made)
+        return {r.k: r.v for r in tx.items.df().collect()}
+
+    seen = store.write(body)
+    assert seen == content(store) == content(Store.open(spark, ITEMS, str(tmp_path)))
 
 
 def test_a_failed_flush_is_told_once_and_loses_nothing(spark, tmp_path):
