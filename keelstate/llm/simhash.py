@@ -196,24 +196,28 @@ def clusters(docs: DataFrame) -> DataFrame:
     fingerprints(docs).write.parquet(path)
     prints = spark.read.schema("doc_id long, fp long").parquet(path)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    joined = components(links(nodes))
+    answer = _answers(nodes, components(links(nodes)))
+    return prints.join(answer, F.col("fp") == F.col("print")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _answers(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(print, component_id) of nodes (fp, least) whose components are joined (node, root)."""
     groups = nodes.join(joined, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = groups.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    answer = groups.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id")
-    return prints.join(answer, F.col("fp") == F.col("print")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return groups.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One document of each component, with all its columns: that with the smallest id.
 
-    Of rows that repeat an id one stays, the first by a digest of its text. Documents with a null
+    Components are those of `found` (doc_id, component_id), of clusters() where none is given. Of rows that repeat an id one stays, the first by a digest of its text. Documents with a null
     id can't be told apart by id and all stay.
     """
-    found = clusters(docs)
+    found = clusters(docs) if found is None else found
     name, first = common.fresh(docs, "__gone"), common.fresh(docs, "__first")
     same = docs["doc_id"].cast("long") == F.col(name)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
