@@ -32,8 +32,8 @@ SAMPLE, FIT_PASSAGES = 4000, 64
 CODE, ATTENTION, EPOCHS, STEP, RATE = 32, 16, 24, 128, 4e-3
 #: Passages whose classes are counted at once.
 PIECE = 4096
-#: Slots of the table that tells whether eight bytes in a row came before in the text.
-REPEAT_BITS = 18
+#: Grams that are sorted at once when repeats are looked for; more are dealt into parts by a hash.
+SORTED = 1 << 21
 
 #: The class of each byte. 0 is a to z, 13 any byte of a non-ASCII character.
 CLASSES = 16
@@ -66,6 +66,21 @@ FEATURES = CLASSES * CLASSES + 2
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages long, most_attention double"
 
 
+def repeats(body: np.ndarray) -> np.ndarray:
+    """Whether the eight bytes at each offset came before in the text, overlaps included."""
+    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, 8)).view("<u8")[:, 0]
+    again = np.ones(len(grams), bool)
+    if len(grams) <= SORTED:
+        again[np.unique(grams, return_index=True)[1]] = False
+        return again
+    parts = -(-len(grams) // SORTED)
+    dealt = ((grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16)
+    for part in range(parts):
+        places = np.flatnonzero(dealt == part)
+        again[places[np.unique(grams[places], return_index=True)[1]]] = False
+    return again
+
+
 def encode(texts: list[bytes | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and the number of passages of each text."""
     rows, sizes = [], []
@@ -84,19 +99,8 @@ def encode(texts: list[bytes | None], table: np.ndarray) -> tuple[np.ndarray, np
                 counts = np.bincount(pairs, minlength=many * CLASSES * CLASSES).reshape(many, -1)
                 out[begin : begin + many, :-2] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
         if len(body) >= 8:
-            grams = np.lib.stride_tricks.sliding_window_view(body, 8)[::4]
-            keys = np.ascontiguousarray(grams).view("<u8")[:, 0] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - REPEAT_BITS)
-            # A gram repeats if its slot was last written by a later place than the first one.
-            first = np.full(1 << REPEAT_BITS, -1, np.int32) if len(keys) > 4096 else None
-            if first is None:
-                _, where = np.unique(keys, return_index=True)
-                again = np.ones(len(keys), bool)
-                again[where] = False
-            else:
-                places = np.arange(len(keys), dtype=np.int32)
-                first[keys[::-1]] = places[::-1]
-                again = first[keys] != places
-            part = np.arange(len(keys)) * 4 // PASSAGE
+            again = repeats(body)
+            part = np.arange(len(again)) // PASSAGE
             out[:, -2] = np.bincount(part, again, minlength=n)[:n] / np.maximum(np.bincount(part, minlength=n)[:n], 1)
         out[:, -1] = 1.0 if len(body) else 0.0
         rows.append(out)

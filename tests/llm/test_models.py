@@ -104,6 +104,20 @@ def test_quality_on_held_out_rows(data):
     assert all(got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == fold(i) for i in got)
 
 
+def test_repeats_are_seen_at_every_distance_and_length(monkeypatch):
+    rng = np.random.default_rng(4)
+    for gap in range(8):
+        once = rng.integers(0, 256, 300, dtype=np.uint8).tobytes()
+        rows, _ = quality.encode([once + bytes(range(gap)) + once], quality._byte_classes())
+        assert rows[1, -2] > 0.5
+    clean = rng.integers(0, 256, 1 << 20, dtype=np.uint8).tobytes()
+    assert quality.encode([clean], quality._byte_classes())[0][:, -2].max() == 0
+    body = np.frombuffer(clean[:5000] + clean[1000:4000], np.uint8)
+    whole = quality.repeats(body)
+    monkeypatch.setattr(quality, "SORTED", 700)
+    assert (quality.repeats(body) == whole).all() and whole.sum() == 2993
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(1)
     rows = rng.random((9, quality.FEATURES)).astype(np.float32)
