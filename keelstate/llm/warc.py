@@ -19,6 +19,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,20 +72,74 @@ def plain_text(page: str) -> str:
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(body))).strip()
 
 
-def split_message(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers and body of an HTTP message; a block without a head is all body."""
+def split_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers in order and body of an HTTP message; a block without a head is all body."""
     if not block.startswith(b"HTTP/"):
         return "", {}, block
     head, _, body = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
-    headers = {}
+    headers = []
     for line in lines:
         name, colon, value = line.partition(":")
-        if colon:
-            headers[name.strip()] = value.strip()
+        if line[:1] in (" ", "\t") and headers:  # a folded line goes on with the one before
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}".strip())
+        elif colon:
+            headers.append((name.strip(), value.strip()))
     return status, headers, body
 
 
+def joined(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """Pairs as a map: the values of a repeated name in order, one a line."""
+    held: dict[str, str] = {}
+    for name, value in pairs:
+        held[name] = f"{held[name]}\n{value}" if name in held else value
+    return held
+
+
+def unchunked(body: bytes) -> bytes:
+    """A chunked body put together; one that isn't chunked, as in many archives, stays as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return body if not out else b"".join(out)
+        if not int(size, 16):
+            return b"".join(out)
+        at = end + 2 + int(size, 16)
+        out.append(body[end + 2 : at])
+        at += 2
+    return b"".join(out) if out else body
+
+
+def unpacked(body: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, str]:
+    """The body without transfer and content encodings, and the one that can't be undone."""
+
+    def named(name: str) -> list[str]:
+        return [c.strip().lower() for k, v in headers if k.lower() == name for c in v.split(",") if c.strip()]
+
+    for coding in (named("content-encoding") + named("transfer-encoding"))[::-1]:
+        if coding == "chunked":
+            body = unchunked(body)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            out = []
+            rest = body
+            wrapped = rest[:2] == b"\x1f\x8b" or (rest[:1] and rest[0] & 15 == 8 and int.from_bytes(rest[:2]) % 31 == 0)
+            if coding != "deflate" and not wrapped:
+                continue  # already undone by the crawler
+            try:
+                while rest:
+                    tool = zlib.decompressobj(47 if wrapped else -15)
+                    out.append(tool.decompress(rest))
+                    rest = tool.unused_data if tool.unused_data[:2] == b"\x1f\x8b" else b""
+            except zlib.error:
+                if not out:
+                    return b"", coding
+            body = b"".join(out)
+        elif coding != "identity":
+            return b"", coding
+    return body, ""
+
+
 def decoded(body: bytes, content_type: str) -> str:
     named = _CHARSET.search(content_type.encode()) or _CHARSET.search(body[:1024])
     try:
@@ -113,19 +168,22 @@ def derivatives(source: dict) -> Iterator[dict]:
     """The metadata and the conversion record of one response row."""
     block = source["block"] or b""
     status, headers, body = split_message(block)
-    kept = {k.lower(): v for k, v in headers.items()}
+    kept = {k.lower(): v for k, v in headers}
+    own = [(k, v) for k, values in (source.get("headers") or {}).items() for v in values.split("\n")]
     source = dict(source)
     source["payload_digest"] = source["payload_digest"] or digest(body)
     source["record_id"] = source["record_id"] or record_id("response", source["target_uri"] or "", digest(block))
-    page = decoded(body, kept.get("content-type", ""))
+    plain, stuck = unpacked(body, headers)
+    page = decoded(plain, kept.get("content-type", ""))
     text = plain_text(page).encode()
     conversion = _row(
-        "conversion", source, "text/plain; charset=utf-8", text, {f"WARC-Source-{k}": v for k, v in headers.items()}
+        "conversion", source, "text/plain; charset=utf-8", text, joined([(f"WARC-Source-{k}", v) for k, v in own + headers])
     )
     title = _TITLE.search(page)
     links = [next(x for x in m.groups() if x is not None) for m in _HREF.finditer(page)]
     fields = [("status", status)] if status else []
-    fields += [(f"header-{k}", v) for k, v in headers.items()]
+    fields += [(f"warc-{k}", v) for k, v in own] + [(f"header-{k}", v) for k, v in headers]
+    fields += [("not-decoded", stuck)] if stuck else []
     fields += [
         ("title", _BLANKS.sub(" ", html.unescape(title[1])).strip() if title else ""),
         ("conversion", conversion["record_id"]),
@@ -199,7 +257,7 @@ def serialise(row: dict) -> bytes:
     ):
         if row[key] is not None:
             lines.append(f"{name}: {row[key]}")
-    lines += [f"{k}: {v}" for k, v in dict(row["headers"] or ()).items()]
+    lines += [f"{k}: {v}" for k, values in dict(row["headers"] or ()).items() for v in values.split("\n")]
     block = row["block"] or b""
     lines.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
@@ -214,14 +272,14 @@ def parse(content: bytes) -> Iterator[dict]:
         end = content.find(b"\r\n\r\n", start)
         if end < 0:
             return
-        fields = {}
+        fields: dict[str, list[tuple[str, str]]] = {}
         for line in content[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
-                fields[name.strip().lower()] = (name.strip(), value.strip())
+                fields.setdefault(name.strip().lower(), []).append((name.strip(), value.strip()))
 
         def take(name: str) -> str | None:
-            return fields.pop(name, (None, None))[1]
+            return fields.pop(name, [(None, None)])[-1][1]
 
         length = int(take("content-length") or 0)
         block = content[end + 4 : end + 4 + length]
@@ -238,7 +296,7 @@ def parse(content: bytes) -> Iterator[dict]:
             "payload_digest": take("warc-payload-digest"),
             "block_digest": take("warc-block-digest"),
         }
-        yield row | {"content_length": length, "headers": dict(fields.values()), "block": block}
+        yield row | {"content_length": length, "headers": joined([p for pairs in fields.values() for p in pairs]), "block": block}
 
 
 def read(files: DataFrame) -> DataFrame:

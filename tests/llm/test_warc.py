@@ -65,3 +65,19 @@ def test_odd_inputs(spark):
     assert len(got) == 10 and all(r.record_id for r in got)
     assert op.derive(odd.limit(0)).count() == 0
     assert op.derive(op.derive(odd)).count() == 0
+
+
+def test_headers_are_kept_and_encodings_undone():
+    packed = __import__("gzip").compress(b"<p>h\xc3\xa9llo</p>")
+    body = b"5\r\n" + packed[:5] + b"\r\n%x;x=1\r\n" % len(packed[5:]) + packed[5:] + b"\r\n0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nWARC-Protocol: h2\r\nWARC-Protocol: tls\r\n"
+    source = next(op.parse(record + b"Content-Length: %d\r\n\r\n" % len(head + body) + head + body + b"\r\n\r\n"))
+    meta, text = op.derivatives(source)
+    assert text["block"].decode() == "h\u00e9llo"
+    assert text["headers"]["WARC-Source-Set-Cookie"] == "a\nb" and text["headers"]["WARC-Source-WARC-Protocol"] == "h2\ntls"
+    for line in (b"header-Set-Cookie: a\r\nheader-Set-Cookie: b\r\n", b"warc-WARC-Protocol: h2\r\nwarc-WARC-Protocol: tls\r\n"):
+        assert line in meta["block"]
+    assert next(op.parse(__import__("gzip").decompress(op.serialise(text))))["headers"] == text["headers"]
+    stuck = op.derivatives(source | {"block": b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\x01\x02"})
+    assert b"not-decoded: br" in next(stuck)["block"] and next(stuck)["block"] == b""
