@@ -31,10 +31,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set and all runs in one process."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="keelstate-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -57,6 +59,20 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text: Column) -> Column:
+    """The SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256))
+
+
+def one_each(rows: DataFrame, mark: str) -> DataFrame:
+    """(doc_id, text, mark) with one row for each doc_id, the first by a digest of its text.
+
+    The choice combines before the shuffle, so an id that repeats often reaches nobody as many rows.
+    """
+    first = F.struct(F.sha2(F.col("text").cast("binary"), 256), mark)
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", mark), first).alias("row")).select("doc_id", "row.text", f"row.{mark}")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that nothing is learnt from; a null id does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))

@@ -13,6 +13,7 @@ columns may have any name.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -140,34 +141,27 @@ def searches(benchmark: DataFrame, width: int = WINDOW, block_windows: int = BLO
         yield Search(block)
 
 
-def _hits(search: Search):
-    """Documents with hits: key, runs and items, for one block of the benchmark."""
+def _hits(search: Search, every: bool):
+    """Rows' keys, words, runs and items for one block of the benchmark; only rows with hits, unless every."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, firsts, ends, items = [], [], [], [], []
+            out = []
             for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                runs, of = search.document(words(text))
-                if runs:
-                    ids.append(doc_id)
-                    hashes.append(key)
-                    firsts.append([run[0] for run in runs])
-                    ends.append([run[1] for run in runs])
-                    items.append(sorted(map(str, of)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(hashes, pa.binary()),
-                    pa.array(firsts, pa.list_(pa.int64())),
-                    pa.array(ends, pa.list_(pa.int64())),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                ["doc_id", "text_key", "firsts", "ends", "items"],
-            )
+                runs, of = search.document(found := words(text))
+                if runs or every:
+                    out.append((doc_id, key, len(found), [r[0] for r in runs], [r[1] for r in runs], sorted(map(str, of))))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _HIT_KINDS)], _HIT_NAMES)
 
     return run
 
 
+_HITS = "doc_id long, text_key binary, n_words long, firsts array<long>, ends array<long>, items array<string>"
+_HIT_NAMES = [part.split()[0] for part in _HITS.split(", ")]
+_HIT_KINDS = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+
+
 def _result(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 6
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
@@ -185,13 +179,12 @@ def scan(
     """Per document: words, hit words, items with occurring windows, their digest and the verdict.
 
     A benchmark of one block is searched in a single pass without a shuffle. A larger one is
-    searched block by block, each broadcast being bounded by block_windows, and only documents
-    with hits are gathered to merge their runs.
+    searched block by block, each broadcast being bounded by block_windows; what is shuffled then
+    are keys, counts and hits, never texts.
     """
     spark = common.prepare(docs.sparkSession)
     pieces = searches(benchmark, width, block_windows)
     first, second = next(pieces, Search([])), next(pieces, None)
-    text = F.col("text").cast("binary").alias("text")
     if second is None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,56 +196,64 @@ def scan(
                     out.append((doc_id, len(found), hit, len(items), digest(items), len(items) >= min_items))
                 yield _result(out)
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, SCHEMA)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)).alias("text_key"),
-        text,
-    )
-    path = common.scratch(spark, "hits")
-    shape = "doc_id long, text_key binary, firsts array<long>, ends array<long>, items array<string>"
-    piece = first
-    while piece is not None:
-        keyed.distinct().mapInArrow(_hits(piece), shape).write.mode("append").parquet(path)
-        piece, second = second, next(pieces, None)
-    hits = (
-        spark.read.schema(shape)
-        .parquet(path)
-        .groupBy("doc_id", "text_key")
-        .agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "ends", "items")))
-        .withColumnRenamed("doc_id", "hit_id")
-        .withColumnRenamed("text_key", "hit_key")
-    )
-    joined = keyed.join(
-        hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left"
-    ).select("doc_id", "text", "firsts", "ends", "items")
+    rows, hits = _blocks(docs, itertools.chain([first, second], pieces))
+    joined = rows.join(hits, F.col("text_key") == F.col("hit_key"), "left").select("doc_id", "n_words", "firsts", "ends", "items")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, body, firsts, ends, items in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for doc_id, n, firsts, ends, items in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 hit = sum(end - start for start, end in merge(zip(firsts or (), ends or ())))
                 of = set(items or ())
-                out.append((doc_id, len(words(body)), hit, len(of), digest(of), len(of) >= min_items))
+                out.append((doc_id, n, hit, len(of), digest(of), len(of) >= min_items))
             yield _result(out)
 
     return joined.mapInArrow(fold, SCHEMA)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = LEAK_ITEMS) -> DataFrame:
+def _blocks(docs: DataFrame, pieces: Iterable[Search]) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n_words) of all documents, and the hits of each distinct text with any.
+
+    A text's hits follow from the text alone, so equal texts share them: a block's are made distinct
+    before they are gathered, which leaves at most one row a text and block.
+    """
+    spark = docs.sparkSession
+    text = F.col("text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(text).alias("text_key"), text.cast("binary").alias("text"))
+    path = common.scratch(spark, "hits")
+    for number, piece in enumerate(pieces):
+        keyed.mapInArrow(_hits(piece, every=not number), _HITS).write.parquet(f"{path}/{number}")
+    rows = spark.read.schema(_HITS).parquet(f"{path}/0").select("doc_id", "text_key", "n_words")
+    every = spark.read.schema(_HITS).parquet(*(f"{path}/{i}" for i in range(number + 1)))
+    parts = ("firsts", "ends", "items")
+    hits = (
+        every.filter(F.size("items") > 0)
+        .select("text_key", *parts)
+        .distinct()
+        .groupBy(F.col("text_key").alias("hit_key"))
+        .agg(*(F.flatten(F.collect_list(c)).alias(c) for c in parts))
+    )
+    return rows, hits
+
+
+def remove(
+    docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = LEAK_ITEMS, block_windows: int = BLOCK_WINDOWS
+) -> DataFrame:
     """The documents with windows of fewer than min_items items, with all their columns.
 
-    A benchmark of several blocks is searched by scan(), whose verdicts are joined back by doc_id:
-    there, rows that share an id go together if one of them is contaminated.
+    Each row is judged by its own text, whatever its id and however many blocks the benchmark has:
+    the verdicts of a benchmark of several blocks are joined back by the text's digest.
     """
     common.prepare(docs.sparkSession)
-    pieces = searches(benchmark, width)
+    pieces = searches(benchmark, width, block_windows)
     first, second = next(pieces, Search([])), next(pieces, None)
     if second is not None:
         bad = common.fresh(docs, "__bad")
-        verdicts = scan(docs, benchmark, width, min_items).filter("contaminated").select(F.col("doc_id").alias(bad))
-        return docs.join(verdicts.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col(bad)), "left_anti")
+        _, hits = _blocks(docs, itertools.chain([first, second], pieces))
+        verdicts = hits.filter(F.size(F.array_distinct("items")) >= min_items).select(F.col("hit_key").alias(bad))
+        return docs.join(verdicts, common.text_key(docs["text"]) == F.col(bad), "left_anti")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, exactly confirmed.
+"""Near copies by the Jaccard similarity of word shingles: candidates of two kinds, exactly confirmed.
 
-Texts with equal shingle sets are one node. Nodes that share a band of MinHash values are candidates;
-each is tied to the least node of the band, so candidates grow with the nodes. Within a component of
-candidates all links of similarity SIMILAR or more are looked for with the whole shingle sets, and only
-those count. A pair at the least similarity has no band in common with a chance of 3 in a million.
+Texts with equal shingle sets are one node. Nodes are candidates if the SimHash fingerprints of their
+shingles are linked by the vantage-point tree, or if they share a band of MinHash values: a pair at
+the least similarity differs in some ten bits of its fingerprints, which no tree prunes, while it has
+no band in common with a chance of 3 in a million. Candidates are tied to the least node of their
+group, so they grow with the nodes, and tied pairs are confirmed by their whole shingle sets. Where
+that leaves a component of candidates in several pieces, all links of similarity SIMILAR or more
+within it are looked for. Only confirmed links count.
 
 Defined results: as those of simhash; a text of fewer than WIDTH words is one shingle, and null and
 wordless texts have one shingle in common.
@@ -20,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from keelstate.llm import common
+from keelstate.llm import common, simhash
 from keelstate.llm.components import components
-from keelstate.llm.simhash import SEED, _answers
+from keelstate.llm.simhash import SEED, majority
 
 #: Words of a shingle, and the similarity from which texts link, as a fraction.
 WIDTH, SIMILAR = 5, (4, 5)
@@ -65,12 +68,14 @@ def _signed(numbers: np.ndarray | list) -> pa.Array:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(text) for text in batch.column(1).to_pylist()]
+        sets = [shingles(text) for text in batch.column(2).to_pylist()]
         flat = _signed(np.concatenate([bands(s) for s in sets] or [np.zeros(0, np.uint64)]))
         ends = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), _signed([_node(s) for s in sets]), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "fp", "bands"]
-        )
+        columns = [_signed([_node(s) for s in sets]), _signed([majority(s) for s in sets]), pa.ListArray.from_arrays(ends, flat)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "fp", "simhash", "bands"])
+
+
+PRINTS = "doc_id long, text_key binary, fp long, simhash long, bands array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +85,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed([_node(s) for s in sets]), rows], ["of", "hashes"])
 
 
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar enough."""
+    top, bottom = SIMILAR
+    for batch in batches:
+        keep = []
+        for one, two in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+            shared = len(np.intersect1d(x, y, assume_unique=True)) if bottom * min(len(x), len(y)) >= top * max(len(x), len(y)) else 0
+            keep.append(bottom * shared >= top * (len(x) + len(y) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """Index pairs that span the components of all links of SIMILAR or more among distinct sets."""
     sizes = np.array([len(s) for s in sets])
@@ -115,36 +132,67 @@ def _block_links(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(keys[ends], pa.int64()), "b": pa.array(keys[others], pa.int64())})
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node of (fp, simhash, bands) with the least node of each of its bands and of its tree component."""
+    prints = nodes.select(F.col("simhash").alias("own")).distinct().checkpoint()
+    joined = components(simhash.links(prints.select(F.col("own").alias("fp"))))
+    near = nodes.join(joined, F.col("simhash") == F.col("node"), "left").select("fp", F.array(F.coalesce("root", "simhash")).alias("groups"), F.lit(0).alias("kind"))
+    dealt = nodes.select("fp", F.col("bands").alias("groups"), F.lit(1).alias("kind")).unionByName(near).select("fp", "kind", F.explode("groups").alias("group"))
+    least = dealt.groupBy(F.col("kind").alias("k"), F.col("group").alias("g")).agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    tied = dealt.join(least, (F.col("group") == F.col("g")) & (F.col("kind") == F.col("k"))).filter("fp <> b")
+    return tied.select(F.col("fp").alias("a"), "b").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): confirmed links that span the components of nodes (fp, least, bands)."""
-    dealt = nodes.select("fp", F.explode("bands").alias("band"))
-    least = dealt.groupBy(F.col("band").alias("in")).agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    tied = dealt.join(least, F.col("band") == F.col("in")).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    """(a, b): confirmed links that span the components of nodes (fp, least, simhash, bands)."""
+    path = common.scratch(docs.sparkSession, "near-links")
+    tied = candidates(nodes).checkpoint()
     joined = components(tied)
     whole = joined.union(joined.select("root", "root").distinct()).toDF("fp", "root").distinct().checkpoint()
-    sizes = whole.groupBy(F.col("root").alias("of_root")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # One document's text gives a node's set; documents without an id are looked through.
     ids = nodes.join(whole.select(F.col("fp").alias("node")), F.col("fp") == F.col("node")).select(F.col("least").alias("id")).distinct()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     wanted = read.join(ids, F.col("doc_id") == F.col("id"), "left_semi").unionByName(read.filter("doc_id is null"))
-    sets = wanted.select("text").mapInArrow(_sets, "of long, hashes binary").groupBy("of").agg(F.first("hashes").alias("hashes"))
-    held = whole.join(sizes, F.col("root") == F.col("of_root")).join(sets, F.col("fp") == F.col("of"))
-    own = held.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return (
-        pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "hashes")
+    wanted.select("text").mapInArrow(_sets, SETS).groupBy("of").agg(F.first("hashes").alias("hashes")).write.parquet(f"{path}/sets")
+    sets = docs.sparkSession.read.schema(SETS).parquet(f"{path}/sets")
+    pairs = (
+        tied.join(sets.withColumnRenamed("hashes", "x"), F.col("a") == F.col("of")).drop("of")
+        .join(sets.withColumnRenamed("hashes", "y"), F.col("b") == F.col("of")).select("a", "b", "x", "y")
+    )
+    pairs.mapInArrow(_confirmed, "a long, b long").write.parquet(f"{path}/tied")
+    found = docs.sparkSession.read.schema("a long, b long").parquet(f"{path}/tied")
+    # A component of candidates whose nodes those links join needs no more.
+    held = components(found)
+    pieces = whole.join(held, F.col("fp") == F.col("node"), "left").select("fp", whole["root"], F.coalesce(held["root"], "fp").alias("piece"))
+    open_ = pieces.groupBy(F.col("root").alias("of_root")).agg(F.count("*").alias("n"), F.min("piece").alias("l"), F.max("piece").alias("m"))
+    sizes = open_.filter("l <> m").select("of_root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rest = whole.join(sizes, F.col("root") == F.col("of_root")).join(sets, F.col("fp") == F.col("of"))
+    own = rest.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    crossed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = (
+        crossed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "hashes")
         .groupBy("root", "i", "j")
         .applyInArrow(_block_links, "a long, b long")
     )
+    return found.unionByName(others)
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that confirmed links reach."""
+SETS = "of long, hashes binary"
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, root, component_id) of every row: its component, and the smallest doc_id in that."""
     spark = common.prepare(docs.sparkSession)
     path = common.scratch(spark, "near")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    read.mapInArrow(_prints, "doc_id long, fp long, bands array<long>").write.parquet(path)
-    prints = spark.read.schema("doc_id long, fp long, bands array<long>").parquet(path)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).checkpoint()
-    answer = _answers(nodes.select("fp", "least"), components(links(docs, nodes)))
-    return prints.join(answer, F.col("fp") == F.col("print")).select("doc_id", "component_id")
+    text = F.col("text")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(text).alias("text_key"), text.cast("binary").alias("text"))
+    read.mapInArrow(_prints, PRINTS).write.parquet(path)
+    prints = spark.read.schema(PRINTS).parquet(path)
+    same = [F.first(c).alias(c) for c in ("simhash", "bands")]
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *same).checkpoint()
+    return simhash.grouped(prints.select("doc_id", "text_key", "fp"), components(links(docs, nodes)))
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that confirmed links reach."""
+    return groups(docs).select("doc_id", "component_id")

@@ -1,11 +1,15 @@
 """SimHash near-duplicates, linked exactly by vantage-point trees.
 
-A vantage-point tree, built on a bounded sample, partitions the distinct fingerprints by their
-Hamming distance from the vantage of each node. A fingerprint goes to the near child up to the
-node's radius and to the far child beyond it; by the triangle inequality only fingerprints within
-the link distance below the radius can link across, so those are sent to the far child too. All
-linked pairs thus meet in some leaf. Within a leaf the fingerprints are ringed by distance from one
-more vantage, and only rings at most the link distance apart are compared. A leaf gives a spanning
+A vantage-point tree partitions the distinct fingerprints by their Hamming distance from the vantage
+of each node. A fingerprint goes to the near child up to the node's radius and to the far child
+beyond it; by the triangle inequality only fingerprints within the link distance below the radius
+can link across, so those are sent to the far child too. All linked pairs thus meet in some leaf.
+The top of the tree, fitted on a bounded sample, deals the fingerprints to tasks; each task goes on
+with a tree of its own leaf's points, down to parts in which fingerprints are ringed by distance from
+one more vantage and only rings at most the link distance apart are compared. Where a vantage parts
+nothing, because near copies crowd around it, links are found by common one-bit neighbours instead:
+fingerprints are within two bits if and only if they share one. That is linear in their number, and
+a leaf that is too large for a task is settled so by all tasks together. A leaf gives a spanning
 forest of its links, never its pairs; components of the forests are then found by star steps.
 
 Defined results: a null or wordless text has fingerprint zero; a document with a null id takes part
@@ -30,9 +34,13 @@ from keelstate.llm.components import components
 
 #: Words of a shingle, bits at which fingerprints link at most, and the hash's seed.
 SHINGLE, LINK_BITS, SEED = 3, 2, 42
-#: Fingerprints that the tree is fitted on, fingerprints aimed at in a leaf, and those that one
-#: task compares at most: larger leaves are compared in pairs of blocks.
-TREE_SAMPLE, LEAF, LEAF_MOST = 1 << 16, 1 << 10, 1 << 14
+#: Fingerprints that the top of the tree is fitted on, fingerprints aimed at in a leaf of it, and those
+#: that one task takes at most: the links of larger leaves are found by all tasks together.
+TREE_SAMPLE, LEAF, LEAF_MOST = 1 << 16, 1 << 13, 1 << 20
+#: Points that are compared ring by ring at most; share of points, copies included, up to which a vantage
+#: parts well enough; and one-bit neighbours that are sorted at once.
+RINGS, PARTED, SORTED = 1 << 10, 1.5, 1 << 22
+_FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -43,26 +51,34 @@ def fingerprint(text: bytes | None) -> int:
     width = min(SHINGLE, len(words))
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if width > 1 else iter(words)
     n = len(words) - width + 1
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(hashes), 1 << 14):
         rows = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprint(text) for text in batch.column(1).to_pylist()]
+        found = [fingerprint(text) for text in batch.column(2).to_pylist()]
         signed = np.array(found, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.int64())], ["doc_id", "text_key", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a long."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, the text's digest (if keyed, else null) and the fingerprint as a long."""
     common.prepare(docs.sparkSession)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return read.mapInArrow(_fingerprints, "doc_id long, fp long")
+    key = common.text_key(F.col("text")) if keyed else F.lit(None).cast("binary")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return read.mapInArrow(_fingerprints, PRINTS)
+
+
+PRINTS = "doc_id long, text_key binary, fp long"
 
 
 class Tree:
@@ -129,8 +145,8 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def forest(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of distinct points, found ring by ring from one vantage."""
+def rings(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within LINK_BITS of distinct points, found ring by ring from one vantage."""
     away = np.bitwise_count(points ^ points[0])
     order = np.argsort(away, kind="stable")
     points, away = points[order], away[order]
@@ -148,22 +164,70 @@ def forest(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i, j = _near(points[first:last], points[last:beyond], False)
             ends.append(i + first)
             others.append(j + last)
+    return order[np.concatenate(ends)], order[np.concatenate(others)]
+
+
+def crowded(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the components of distinct points, by the one-bit neighbours that they share."""
+    dealt = -(-len(points) * len(_FLIPS) // SORTED)
+    ends, others = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = max(1, SORTED // len(_FLIPS))
+    for part in range(dealt):
+        keys, owners = [], []
+        for at in range(0, len(points), step):
+            own = points[at : at + step, None] ^ _FLIPS
+            mine = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(dealt) == np.uint64(part)
+            keys.append(own[mine])
+            owners.append(np.nonzero(mine)[0] + at)
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        same = key[1:] == key[:-1]
+        root = roots(len(points), np.concatenate([ends, owner[:-1][same]]), np.concatenate([others, owner[1:][same]]))
+        ends = np.flatnonzero(root != np.arange(len(points)))
+        others = root[ends]
+    return ends, others
+
+
+def forest(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of distinct points, by a vantage-point tree of these points."""
+    rng = np.random.default_rng(SEED)
+    ends, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    waiting = [np.arange(len(points))]
+    while waiting:
+        part = waiting.pop()
+        if not len(part):
+            continue
+        own = points[part]
+        if len(part) <= RINGS:
+            i, j = rings(own)
+        else:
+            away = np.bitwise_count(own ^ own[rng.integers(len(own))]).astype(np.int64)
+            radius = int(np.median(away))
+            near, far = part[away <= radius], part[away + LINK_BITS > radius]
+            if len(far) < len(part) and len(near) + len(far) <= PARTED * len(part):
+                waiting += [near, far]
+                continue
+            i, j = crowded(own)
+        ends.append(part[i])
+        others.append(part[j])
     root = roots(len(points), np.concatenate(ends), np.concatenate(others))
     linked = np.flatnonzero(root != np.arange(len(points)))
     return points[linked], points[root[linked]]
 
 
 def _leaf_links(rows: pa.Table) -> pa.Table:
-    """Links of one leaf, or of one pair of blocks of a large leaf."""
+    """Links of one leaf."""
     a, b = forest(np.unique(rows.column("fp").to_numpy().view(np.uint64)))
     return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
 
 def links(points: DataFrame, leaf: int = LEAF, most: int = LEAF_MOST, sample: int = TREE_SAMPLE) -> DataFrame:
     """(a, b): links that span the components of the distinct fingerprints in column fp."""
+    points = points.select("fp")
     total = points.count()
-    drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    seen = np.unique(np.array([row.fp for row in drawn], np.int64).view(np.uint64))
+    drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()
+    seen = np.unique(drawn.column("fp").to_numpy().view(np.uint64))
     np.random.default_rng(SEED).shuffle(seen)
     depth = min(max(0, int(np.ceil(np.log2(max(1, total) / leaf)))), int(np.log2(max(1, len(seen)))))
     tree = Tree(seen, depth)
@@ -174,57 +238,69 @@ def links(points: DataFrame, leaf: int = LEAF, most: int = LEAF_MOST, sample: in
             rows, nodes = tree.leaves(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps[rows], pa.int64())], ["leaf", "fp"])
 
-    dealt = points.select("fp").mapInArrow(deal, "leaf long, fp long")
-    # A leaf past `most` is cut into blocks by a hash, and each pair of blocks is a task of its own.
-    large = dealt.groupBy(F.col("leaf").alias("big")).count().filter(F.col("count") > most)
-    cut = dealt.join(large, F.col("leaf") == F.col("big"), "left").withColumn(
-        "blocks", F.coalesce(F.ceil(F.col("count") * 2 / most), F.lit(1)).cast("int")
-    )
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
-    pairs = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return (
-        pairs.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-        .groupBy("leaf", "i", "j")
-        .applyInArrow(_leaf_links, "a long, b long")
-    )
+    dealt = points.mapInArrow(deal, "leaf long, fp long")
+    # There are at most as many leaves as the sample has points.
+    large = [row.leaf for row in dealt.groupBy("leaf").count().filter(F.col("count") > most).collect()]
+    small = dealt.filter(~F.col("leaf").isin(large)) if large else dealt
+    found = small.groupBy("leaf").applyInArrow(_leaf_links, "a long, b long")
+    return found.unionByName(_shared(dealt.filter(F.col("leaf").isin(large)).select("fp").distinct())) if large else found
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that can be reached."""
-    spark = common.prepare(docs.sparkSession)
-    path = common.scratch(spark, "fingerprints")
-    fingerprints(docs).write.parquet(path)
-    prints = spark.read.schema("doc_id long, fp long").parquet(path)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    answer = _answers(nodes, components(links(nodes)))
-    return prints.join(answer, F.col("fp") == F.col("print")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+def _shared(points: DataFrame) -> DataFrame:
+    """crowded() by all tasks: a neighbour is shared by 65 distinct fingerprints at most."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    around = points.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("key"))
+    groups = around.groupBy("key").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    return groups.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a <> b").distinct()
 
 
-def _answers(nodes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(print, component_id) of nodes (fp, least) whose components are joined (node, root)."""
+def grouped(prints: DataFrame, joined: DataFrame) -> DataFrame:
+    """prints (doc_id, fp, ...) with root and component_id; joined (node, root) are the components of fp."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = nodes.join(joined, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        F.col("fp").alias("print"), "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = groups.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    return groups.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id")
+    answer = groups.join(smallest, F.col("root") == F.col("of")).select("print", "root", "component_id")
+    return prints.join(answer, F.col("fp") == F.col("print")).drop("print")
+
+
+def _grouped(docs: DataFrame, keyed: bool) -> DataFrame:
+    spark = common.prepare(docs.sparkSession)
+    path = common.scratch(spark, "fingerprints")
+    fingerprints(docs, keyed).write.parquet(path)
+    prints = spark.read.schema(PRINTS).parquet(path)
+    return grouped(prints, components(links(prints.select("fp").distinct().checkpoint())))
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that can be reached."""
+    return _grouped(docs, False).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """One document of each component, with all its columns: that with the smallest id.
+    """One row of each component, with all its columns: of those with the smallest id the first by text digest.
 
-    Components are those of `found` (doc_id, component_id), of clusters() where none is given. Of rows that repeat an id one stays, the first by a digest of its text. Documents with a null
-    id can't be told apart by id and all stay.
+    found tells the component (root) of each id and text digest (doc_id, text_key), as _grouped() does,
+    which is asked where none is given. Rows are told apart by id and text, so an id that repeats with
+    other texts, or is null, costs none of them. Of rows equal in both, the first by its other columns stays.
     """
-    found = clusters(docs) if found is None else found
-    name, first = common.fresh(docs, "__gone"), common.fresh(docs, "__first")
-    same = docs["doc_id"].cast("long") == F.col(name)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, same, "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().filter("count > 1").select(name)
+    spark = common.prepare(docs.sparkSession)
+    path = common.scratch(spark, "groups")
+    found = _grouped(docs, True) if found is None else found
+    found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")).write.parquet(path)
+    groups = spark.read.schema("root long, doc_id long, text_key binary, n long").parquet(path)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    best = groups.groupBy(F.col("root").alias("of")).agg(F.min(first).alias("best"), F.count("*").alias("many")).filter("many > 1")
+    id_, key, place = (common.fresh(docs, name) for name in ("__gone", "__key", "__first"))
+    named = [F.col("doc_id").alias(id_), F.col("text_key").alias(key + "_")]
+    gone = groups.join(best, F.col("root") == F.col("of")).filter(~first.eqNullSafe(F.struct("best.*"))).select(*named)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key + "_"))
+    kept = docs.withColumn(key, common.text_key(F.col("text"))).join(gone, same, "left_anti")
+    repeated = groups.filter("n > 1").select(*named)
     if repeated.isEmpty():
-        return kept
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2(F.col("text").cast("binary"), 256)))
-    several = kept.join(repeated, same, "left_semi").withColumn(first, rank).filter(F.col(first) == 1)
-    return kept.join(repeated, same, "left_anti").unionByName(several.select(*docs.columns))
+        return kept.drop(key)
+    rest = F.to_json(F.struct(F.lit(0), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    rank = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(rest))
+    several = kept.join(repeated, same, "left_semi").withColumn(place, rank).filter(F.col(place) == 1)
+    return kept.join(repeated, same, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))

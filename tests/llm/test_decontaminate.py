@@ -53,12 +53,22 @@ def test_equals_brute_force(spark, frame, block):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = op.scan(frame(docs), bench, block_windows=block)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)
-    if block > 7:
-        for least in (1, 2):
-            kept = op.remove(frame(docs), bench, min_items=least)
-            assert kept.columns == frame(docs).columns
-            want = [d[0] for d in brute(docs, items) if d[3] < least]
-            assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    for least in (1, 2):
+        kept = op.remove(frame(docs), bench, min_items=least, block_windows=block)
+        assert kept.columns == frame(docs).columns
+        want = [d[0] for d in brute(docs, items) if d[3] < least]
+        assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_rows_are_removed_by_their_own_text_at_every_block_size(spark, frame):
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(None, "clean one"), (None, leak), (5, "clean two"), (5, leak + " more"), (5, None), (6, "ok"), (None, None), (6, "ok")]
+    bench = spark.createDataFrame([(1, leak), (2, "a b c d e f g h i j k"), (3, "l m n o p q r s t")], "item_id long, text string")
+    want = sorted(((i, t) for i, t in rows if leak not in (t or "")), key=repr)
+    for size in (200_000, 7, 2, 1):
+        assert sorted(((r.doc_id, r.text) for r in op.remove(frame(rows), bench, block_windows=size).collect()), key=repr) == want
+    plan = op.scan(frame(rows), bench, block_windows=2)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan
 
 
 @settings(max_examples=60, deadline=None)

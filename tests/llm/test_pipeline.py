@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from keelstate.llm import common, decontaminate, pii, queries, simhash, toxicity
+from keelstate.llm import common, decontaminate, near, pii, queries, toxicity
 from tests.llm.test_pii import slow
 from tests.test_catalog import TABLES, plain
 
@@ -57,7 +57,7 @@ def test_stages(spark, sf_dir, tmp_path):
     labels = common.table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).filter("predicted = 1")
     assert ids(kept[0][0]) - ids(kept[0][1]) == ids(scored)
-    groups = {r.component_id for r in simhash.clusters(kept[1][0]).collect()}
+    groups = {r.component_id for r in near.clusters(kept[1][0]).collect()}
     assert ids(kept[1][1]) == groups
     bad = decontaminate.scan(kept[2][0], common.table(spark, sf_dir, "benchmark")).filter("n_items > 0")
     assert ids(kept[2][0]) - ids(kept[2][1]) == ids(bad)

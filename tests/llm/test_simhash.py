@@ -107,6 +107,42 @@ def test_components_of_chains_loops_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_crowded_points_are_linked_as_by_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    flips = np.uint64(1) << rng.integers(0, 64, (3000, 6)).astype(np.uint64)
+    ball = np.unique(np.bitwise_xor.reduce(flips, axis=1))  # within six bits of one point: no vantage parts it
+    far = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    points = np.unique(np.concatenate([ball, far]))
+    want = op.roots(len(points), *op._near(points, points, True))
+    monkeypatch.setattr(op, "RINGS", 64)
+    for limit in (op.SORTED, 5000):
+        monkeypatch.setattr(op, "SORTED", limit)
+        for found in (op.crowded(points), [np.searchsorted(points, x) for x in op.forest(points)]):
+            assert (op.roots(len(points), *map(np.asarray, found)) == want).all()
+    table = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    shared = op._shared(table).toArrow()
+    ends = [np.searchsorted(points, shared.column(c).to_numpy().view(np.uint64)) for c in "ab"]
+    assert (op.roots(len(points), *ends) == want).all()
+
+
+def test_one_row_of_each_component_stays(spark, frame):
+    rng = random.Random(12)
+    texts = [t for _, t in corpus()][:60] + ["", None]
+    for _ in range(3):  # ids that are null or repeat, with equal and with other texts
+        docs = [(rng.choice([None, *range(25)]), rng.choice(texts)) for _ in range(90)]
+        rows = frame(docs)
+        kept = op.keep_one(rows)
+        assert kept.columns == rows.columns
+        group = {(i, t): n for (i, t), n in zip(docs, slow_roots(docs))}
+        stay = [group[r.doc_id, r.text] for r in kept.collect()]
+        assert sorted(stay) == sorted(set(group.values()))
+
+
+def slow_roots(docs):
+    numbered = slow_components([(n, text) for n, (_, text) in enumerate(docs)])
+    return [root for n, _, root in sorted(numbered)]
+
+
 def test_only_bounded_things_reach_the_driver(spark, frame):
     plan = op.fingerprints(frame(ODD))._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
