@@ -17,8 +17,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that five-word shingles of Jaccard 0.8 or more link, one document stays."""
-    return simhash.keep_one(docs, near.clusters(docs))
+    """Of texts that are linked at a Jaccard similarity of 0.8 or more over five-word shingles, one document stays.
+
+    Candidates come from the vantage-point tree over SimHash fingerprints and from MinHash bands.
+    """
+    return simhash.keep_one(docs, near.groups(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
