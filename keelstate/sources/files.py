@@ -28,6 +28,9 @@ class Files(Protocol):
     def sizes(self, path: str) -> dict[str, int]:
         """Bytes of the data files of a folder."""
 
+    def sync(self, path: str) -> None:
+        """Make the data files of a folder durable, where their writer's close doesn't."""
+
     def move(self, path: str, to: str) -> None: ...
 
     def remove(self, path: str) -> None: ...
@@ -63,9 +66,7 @@ class LocalFiles:
                 out.flush()
                 os.fsync(out.fileno())
             os.link(name, target)  # fails if the target exists
-            folder = os.open(target.parent, os.O_RDONLY)
-            os.fsync(folder)
-            os.close(folder)
+            self._sync(target.parent)
         except OSError as error:
             raise IoError(error) from error
         finally:
@@ -79,6 +80,25 @@ class LocalFiles:
         folder = self.path / path
         return {p.name: p.stat().st_size for p in folder.iterdir() if _is_data(p.name)} if folder.is_dir() else {}
 
+    def sync(self, path: str) -> None:
+        folder = self.path / path
+        try:
+            for name in self.sizes(path):
+                self._sync(folder / name)
+            while folder != self.path:  # a file is as durable as the folders above it
+                self._sync(folder)
+                folder = folder.parent
+        except OSError as error:
+            raise IoError(error) from error
+
+    @staticmethod
+    def _sync(path: Path) -> None:
+        handle = os.open(path, os.O_RDONLY)
+        try:
+            os.fsync(handle)
+        finally:
+            os.close(handle)
+
     def move(self, path: str, to: str) -> None:
         target = self.path / to
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -140,6 +160,9 @@ class HadoopFiles:
         found = {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(folder)}
         return {name: size for name, size in found.items() if _is_data(name)}
 
+    def sync(self, path: str) -> None:
+        """Nothing to do: such a file system has a file's bytes once its writer has closed it."""
+
     def move(self, path: str, to: str) -> None:
         target = self._path(to)
         self.fs.mkdirs(target.getParent())
@@ -154,3 +177,15 @@ class HadoopFiles:
 
 def files_of(spark: SparkSession, root: str) -> Files:
     return HadoopFiles(spark, root) if "://" in root and not root.startswith("file:") else LocalFiles(root)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only in a single process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise IoError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="keelstate-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")

@@ -14,21 +14,24 @@ from dataclasses import dataclass
 from typing import Any, TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from keelstate.errors import Invalid, IoError, NotFound, StoreError
 from keelstate.operators import overlay as algebra
 from keelstate.operators.overlay import Overlay
-from keelstate.operators.replay import DELETE, PUT
-from keelstate.schema import CollectionSpec, StateSchema
+from keelstate.operators.replay import DELETE, PUT, latest
+from keelstate.schema import KIND, OP, CollectionSpec, StateSchema
 from keelstate.sources.backend import Backend, NullBackend
 from keelstate.sources.log import THRESHOLD, Bulk, Rows, Segment, TableLog
 
 R = TypeVar("R")
-#: Changed rows of a collection that the driver holds at most, and layers that it looks through.
+#: Changed rows that the driver holds at most of a collection, a transaction's operations or what waits
+#: for a flush, and layers that it looks through.
 HELD_ROWS, LAYERS = 100_000, 32
+#: Bytes up to which a table, by Spark's estimate, is written by the driver if it has at most HELD_ROWS rows.
+HELD_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -237,8 +240,26 @@ class Collection:
     def _rows(self) -> Rows:
         if not self.segments or not isinstance(self.segments[-1], Rows):
             self.segments.append(Rows(self.spec.name, []))
+        elif len(self.segments[-1].ops) >= HELD_ROWS:
+            self._spill()
+            self.segments.append(Rows(self.spec.name, []))
         return self.segments[-1]
 
+    def _spill(self) -> None:
+        """Bring the operations that the driver holds to disk, and read them from there on."""
+        below = self._below()
+        if self.tx.log is not None:
+            stored = self.tx.log.store(self.tx.seq, self.segments[-1])
+            rows = self.tx.spark.read.schema(self.spec.log_schema).parquet(self.tx.log.files.uri(stored.path))
+            newest = latest(rows, self.spec.keys, [F.col(OP).desc()])
+            self.segments[-1] = stored
+            puts, gone = newest.filter(F.col(KIND) == PUT).select(*self.spec.columns), newest.filter(F.col(KIND) == DELETE).select(*self.spec.keys)
+        else:
+            held = overlay_of(self.tx.spark, self.spec, self.changes)
+            self.segments[-1] = Rows(self.spec.name, [])
+            puts, gone = held.puts.checkpoint(), held.deletes.checkpoint()
+        self.bulk, self.changes = algebra.apply(below, Overlay(puts, gone, self.spec.keys)), {}
+
     def put(self, key: Any, value: Any) -> None:
         self.tx.check_open()
         key, value = self.spec.key_of(key), self.spec.value_of(value)
@@ -262,15 +283,46 @@ class Collection:
         self.put(key, change(value))
         return True
 
-    def _stage(self, kind: str, rows: DataFrame) -> Bulk:
-        """The operation with its rows stored, so that they are made once and stay the same."""
+    def _stage(self, kind: str, rows: DataFrame, keyed: bool = False) -> Bulk:
+        """The operation with its rows stored, so that they are made once and stay the same.
+
+        keyed: their keys must be neither null nor repeated, which the job that stores them finds out.
+        """
         self.tx.check_open()
-        bulk = Bulk(self.spec.name, self.tx.next_op(), kind, rows)
-        if self.tx.log is not None:
-            return self.tx.log.stage(self.tx.seq, bulk)
-        bulk.rows = rows.checkpoint()
+        spec, bulk = self.spec, Bulk(self.spec.name, self.tx.next_op(), kind, rows)
+        null = F.lit(False)
+        for name in spec.keys:
+            null = null | F.col(name).isNull()
+        if (held := _held(rows)) is not None:
+            if keyed:
+                spec_keys = held.select(spec.keys)
+                self._check(sum(c.null_count for c in spec_keys.columns), held.num_rows - spec_keys.group_by(spec.keys).aggregate([]).num_rows)
+            if self.tx.log is not None:
+                return self.tx.log.stage(self.tx.seq, bulk, held)
+            bulk.rows = self.tx.spark.createDataFrame(held).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema)).checkpoint()
+        elif self.tx.log is None:
+            bulk.rows = rows.checkpoint()
+            if keyed:
+                found = bulk.rows.groupBy(*spec.keys).agg(F.count("*").alias("n"))
+                self._check(*found.agg(F.coalesce(F.sum(null.cast("int")), F.lit(0)), F.coalesce(F.max("n"), F.lit(1)) - 1).first())
+        elif keyed:
+            # Rows are dealt and sorted by key once: repeats are counted there, and the files suit point reads.
+            place = F.row_number().over(Window.partitionBy(*spec.keys).orderBy(*spec.keys))
+            seen = Observation()
+            found = (F.coalesce(F.sum(null.cast("int")), F.lit(0)).alias("nulls"), F.coalesce(F.max("__place"), F.lit(1)).alias("most"))
+            bulk.rows = rows.repartition(*(F.col(k) for k in spec.keys)).withColumn("__place", place).observe(seen, *found).select(*rows.columns)
+            bulk = self.tx.log.stage(self.tx.seq, bulk)
+            self._check(seen.get["nulls"], seen.get["most"] - 1)
+        else:
+            bulk = self.tx.log.stage(self.tx.seq, bulk)
         return bulk
 
+    def _check(self, nulls: int, repeats: int) -> None:
+        if nulls:
+            raise Invalid(self.spec.name, "a key is null")
+        if repeats:
+            raise Invalid(self.spec.name, "keys of a table repeat; name a column to order them by")
+
     def _apply(self, bulk: Bulk, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         below = self.df()
         self.segments.append(bulk)
@@ -279,25 +331,14 @@ class Collection:
     def put_df(self, rows: DataFrame, order_by: str | None = None) -> None:
         """Put a table. Keys must be unique, unless order_by names a column whose greatest value wins.
 
-        The table is made once: it is stored first, and its keys are checked there.
+        The table is made once, by the job that stores it and checks its keys.
         """
         spec = self.spec
         if order_by is not None:
             rest = [c for c in rows.columns if c not in spec.keys]
             rows = rows.groupBy(*spec.keys).agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("__row")).select(*spec.keys, "__row.*")
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields))
-        bulk = self._stage(PUT, rows)
-        rows = bulk.rows
-        # One pass finds null and repeated keys; with an order column keys can't repeat any more.
-        found = rows if order_by is not None else rows.groupBy(*spec.keys).agg(F.count("*").alias("__n"))
-        null = F.lit(False)
-        for name in spec.keys:
-            null = null | F.col(name).isNull()
-        bad = found.filter(null if order_by is not None else null | (F.col("__n") > 1)).limit(1).collect()
-        if bad:
-            if any(bad[0][name] is None for name in spec.keys):
-                raise Invalid(spec.name, "a key is null")
-            raise Invalid(spec.name, "keys of a table repeat; name a column to order them by")
+        bulk = self._stage(PUT, rows, keyed=True)
 
         def merged(below: DataFrame, new: DataFrame) -> DataFrame:
             return below.join(new.select(*spec.keys), spec.keys, "left_anti").unionByName(new)
@@ -321,6 +362,14 @@ class Collection:
         return self.segments[-1].rows
 
 
+def _held(rows: DataFrame) -> pa.Table | None:
+    """A table that is small by Spark's estimate and by its rows, as the driver holds it; else None."""
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > HELD_BYTES:
+        return None
+    found = rows.limit(HELD_ROWS + 1).toArrow()
+    return found if found.num_rows <= HELD_ROWS else None
+
+
 class Transaction:
     """One attribute for each collection."""
 
@@ -464,6 +513,8 @@ class Store:
             self._version = tx.merged(seq, None)
             self._pending.append((seq, segments))
             self._mark(saved=False)
+            if sum(len(s.ops) for _, held in self._pending for s in held if isinstance(s, Rows)) > HELD_ROWS:
+                self._drain()  # sooner than due, as the driver holds enough
             return
         self._append([*self._pending, (seq, segments)])
         self._pending = []
@@ -512,7 +563,9 @@ class Store:
     def set_flush_policy(self, policy: FlushPolicy) -> None:
         """Stop the present mode with a last flush, and start another."""
         self._end_flusher()
-        self._policy = policy
+        with self._gate:
+            self._drain()  # what was written since the flusher's last round
+            self._policy = policy
         if policy.interval is not None:
             self._stop = False
             self._flusher = threading.Thread(target=self._flush_loop, name="keelstate-flusher", daemon=True)
@@ -588,11 +641,18 @@ class Store:
         self._flusher = None
 
     def close(self) -> None:
-        """A last flush; later writes raise, and so does this if that flush failed."""
-        if self._closed:
-            return
+        """A last flush; later writes raise, and so does this if that flush failed.
+
+        It waits for the writer at work, and no write is accepted after it, so none can miss the last flush.
+        """
+        with self._gate:
+            if self._closed:
+                return
+            self._closed = True
         self._end_flusher()
-        self._closed = True
+        if not self._error:
+            with self._gate:
+                self._drain()
         if error := self.flush_error():
             raise error
 

@@ -434,3 +434,106 @@ def test_async_store(spark, tmp_path):
         await store.close()
 
     asyncio.run(main())
+
+
+def test_a_flipped_byte_of_bulk_data_ends_the_valid_run(spark, tmp_path):
+    store = Store.open(spark, ITEMS, str(tmp_path))
+    store.write(put("a"))
+    for number, rows in ((2, 300_000), (3, 5)):  # one table written by Spark, one by the driver
+        store.write(lambda tx: tx.items.put_df(spark.range(rows).select(F.concat(F.lit(f"{number}-"), F.col("id")).alias("k"), F.lit("v").alias("v"))))
+    commits = [json.loads(p.read_text()) for p in sorted(tmp_path.glob("commits/*.json"))]
+    assert [c["parts"][0].get("bulk") for c in commits] == [None, True, True] and all(c["parts"][0]["crc32"] for c in commits)
+    damaged(tmp_path, "flipped", 3)
+    store = Store.open(spark, ITEMS, str(tmp_path))
+    assert store.read().count("items") == 300_001 and "checksum" in store.log.recovered
+    damaged(tmp_path, "flipped", 2)
+    store = Store.open(spark, ITEMS, str(tmp_path))
+    assert set(content(store)) == {"a"} and "checksum" in store.log.recovered
+    store.write(put("b"))
+    assert set(content(Store.open(spark, ITEMS, str(tmp_path)))) == {"a", "b"}
+
+
+def test_an_unreadable_snapshot_is_an_error_and_nothing_is_set_aside(spark, tmp_path):
+    store = Store.open(spark, ITEMS, str(tmp_path))
+    for key in "ab":
+        store.write(put(key))
+        store.compact()
+    store.write(put("c"))
+    marks = sorted(tmp_path.glob("snapshots/*.json"))
+    kept = [m.read_bytes() for m in marks]
+    marks[-1].write_bytes(b"{")
+    assert set(content(Store.open(spark, ITEMS, str(tmp_path)))) == set("abc")  # the older one and its commits reach as far
+    marks[-1].write_bytes(kept[-1])
+    part = next((tmp_path / "snapshots" / marks[-1].stem).rglob("*.parquet"))
+    whole = part.read_bytes()
+    part.write_bytes(whole[:-2] + bytes(b ^ 0xFF for b in whole[-2:]))
+    assert set(content(Store.open(spark, ITEMS, str(tmp_path)))) == set("abc")
+    for mark in marks:
+        mark.write_bytes(b"{")
+    with pytest.raises(LogCorrupted, match="unreadable snapshot"):
+        Store.open(spark, ITEMS, str(tmp_path))
+    assert not list(tmp_path.glob("quarantine/*"))
+    marks[0].write_bytes(kept[0])
+    assert set(content(Store.open(spark, ITEMS, str(tmp_path)))) == set("abc")
+
+
+def test_no_write_is_lost_beside_a_close(spark, tmp_path):
+    for trial in range(3):
+        path, done = str(tmp_path / str(trial)), []
+        store = Store.open(spark, ITEMS, path)
+        store.set_flush_policy(FlushPolicy.grouped(5.0))
+
+        def work():
+            try:
+                for i in range(10**6):
+                    store.write(put(f"{i}"))
+                    done.append(i)
+            except Invalid:
+                pass
+
+        thread = threading.Thread(target=work)
+        thread.start()
+        while len(done) < 300:
+            pass
+        (store.close if trial else lambda: (store.set_flush_policy(FlushPolicy.immediate()), store.close()))()
+        thread.join()
+        assert Store.open(spark, ITEMS, path).read().count("items") == len(done)
+
+
+def test_the_driver_holds_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("keelstate.store.HELD_ROWS", 10)
+    for store in (Store.memory(spark, ITEMS), Store.open(spark, ITEMS, str(tmp_path))):
+
+        def body(tx):
+            for i in range(35):
+                tx.items.put(f"k{i % 30}", str(i))
+                if i % 7 == 0:
+                    assert tx.items.delete(f"k{i % 30}") and f"k{i % 30}" not in tx.items
+                assert len(tx.items.changes) <= 10
+            assert tx.items.get("k3") == "33"
+
+        store.write(body)
+        want = {}
+        for i in range(35):
+            want[f"k{i % 30}"] = str(i)
+            if i % 7 == 0:
+                del want[f"k{i % 30}"]
+        assert content(store) == want
+    assert content(Store.open(spark, ITEMS, str(tmp_path))) == want
+    store.set_flush_policy(FlushPolicy.grouped(60))
+    for i in range(25):
+        store.write(put(f"n{i}"))
+    assert len(list(tmp_path.glob("commits/*.json"))) >= 3 and store.read().count("items") == len(want) + 25
+    store.close()
+
+
+def test_large_tables_are_checked_in_the_job_that_stores_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("keelstate.store.HELD_BYTES", 0)
+    store = Store.open(spark, ITEMS, str(tmp_path))
+    for rows, message in (([("a", "1"), ("a", "2")], "repeat"), ([(None, "1"), ("b", "2")], "null")):
+        with pytest.raises(Invalid, match=message):
+            store.write(lambda tx: tx.items.put_df(spark.createDataFrame(rows, "k string, v string")))
+    assert content(store) == {}
+    store.write(lambda tx: tx.items.put_df(spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")))
+    store.write(lambda tx: tx.items.put_df(spark.createDataFrame([], "k string, v string")))
+    assert content(Store.open(spark, ITEMS, str(tmp_path))) == {"a": "1", "b": "2"}
