@@ -1,4 +1,4 @@
-"""Reads binary operation logs: a header, then length-prefixed, checksummed entries of operations.
+"""Reads and writes binary operation logs: a header, then length-prefixed, checksummed entries of operations.
 
 An entry is a 4-byte length, a payload and its 64-bit XXH3, all little-endian; the payload is a
 counted list of operations in a varint encoding: a tag (0 put, 1 delete), the collection's number,
@@ -7,7 +7,7 @@ the key and, for a put, the value, both as counted bytes. The longest valid pref
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +22,27 @@ MAGIC, VERSION, HEADER = b"EWAL", 3, 16
 SCHEMA = "path string, commit_seq long, op_idx long, collection short, kind string, key binary, value binary"
 
 
+def header() -> bytes:
+    return (MAGIC + bytes([VERSION])).ljust(HEADER, b"\0")
+
+
+def _size(value: int) -> bytes:
+    out = bytearray()
+    while value >= 0x80:
+        out.append(value & 0x7F | 0x80)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def entry(operations: Iterable[tuple[str, int, bytes, bytes | None]]) -> bytes:
+    """One transaction's operations (kind, collection, key, value) as an entry; few enough for the driver."""
+    parts = []
+    for kind, collection, key, value in operations:
+        parts.append(_size(kind == DELETE) + bytes([collection]) + _size(len(key)) + key + (b"" if kind == DELETE else _size(len(value)) + value))
+    body = _size(len(parts)) + b"".join(parts)
+    return len(body).to_bytes(4, "little") + body + xxh3_64_intdigest(body).to_bytes(8, "little")
+
+
 def check_header(data: bytes) -> None:
     if len(data) < HEADER:
         raise LogCorrupted(0, "file too short for a header")

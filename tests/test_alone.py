@@ -16,7 +16,7 @@ def test_import_without_them(tmp_path):
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(source, tmp_path / name)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 29 and set(e.oracle_sql()) == set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 78 and set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 

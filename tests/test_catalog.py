@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from keelstate.plans import catalog
+from keelstate.plans import catalog, store_catalog
+from keelstate.store import _equals
+
+QUERIES, ORACLES = catalog.QUERIES | store_catalog.QUERIES, catalog.ORACLES | store_catalog.ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -25,12 +28,12 @@ def oracle(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, sf_dir, oracle, name):
-    frame = catalog.QUERIES[name](spark, sf_dir)
+    frame = QUERIES[name](spark, sf_dir)
     columns = sorted(frame.columns)
     got = sorted((tuple(plain(row[c]) for c in columns) for row in frame.collect()), key=repr)
-    found = oracle.execute(catalog.ORACLES[name])
+    found = oracle.execute(ORACLES[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(row[names.index(c)]) for c in columns) for row in found.fetchall()), key=repr)
@@ -39,12 +42,13 @@ def test_query_equals_oracle(spark, sf_dir, oracle, name):
 
 def test_entry_points(spark):
     assert driver.entry(spark).count() > 0
-    assert set(catalog.QUERIES) <= set(driver.queries())
+    assert set(QUERIES) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_point_reads_reach_the_scan(spark, sf_dir):
-    plan = catalog.read_get(spark, sf_dir)._jdf.queryExecution().toString()
+    held = catalog.version(spark, sf_dir).collections["customer"]
+    plan = held.base.filter(_equals(held.spec, (42,)))._jdf.queryExecution().toString()
     assert "EqualTo(c_custkey,42)" in plan
 
 
