@@ -6,7 +6,7 @@ own numbers. Landmarks chosen from the training texts give each text a feature v
 ridge regression per language (one versus rest) scores it: all by matrix products per batch.
 
 Defined results: a text that is null or has no letter is `und` with score 0; training rows with a
-null id, text or language are left out; without any training row every text is `und`; repeated rows
+null id, text or language are left out; of those that share an id one counts; without any training row every text is `und`; repeated rows
 are answered one by one; only doc_id, text and (to learn) lang are read, so other columns may have
 any name.
 """
@@ -122,14 +122,13 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """Learn from at most `sample` rows of the training folds, the first by a hash of the id.
 
-    Their ids are chosen first, without the texts; n-grams are then taken on the executors, and
-    sets of at most GRAMS numbers reach the driver.
+    Their ids are chosen first, without reading the texts; n-grams are then taken on the executors,
+    and sets of at most GRAMS numbers reach the driver, one for each id.
     """
     common.prepare(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & doc_id.isNotNull() & ~common.held_out(doc_id))
-    drawn = rows.select(doc_id.alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    ids = sorted({row.doc_id for row in drawn})
+    rows = docs.filter(F.col("lang").isNotNull() & doc_id.isNotNull() & ~common.held_out(doc_id))
+    ids = rows.select(doc_id.alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().column(0).to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbol_table()
@@ -139,16 +138,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Mo
                 [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "lang", "grams"]
             )
 
-    learnt = (
-        rows.filter(doc_id.isin(ids))
-        .select(doc_id.alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-        .mapInArrow(run, "doc_id long, lang string, grams array<int>")
-        .filter(F.size("grams") > 0)
-        .toArrow()
-    )
-    order = np.lexsort((learnt.column("lang").to_numpy(zero_copy_only=False), learnt.column("doc_id").to_numpy()))
-    sets = [np.array(learnt.column("grams")[int(i)].values, np.int32) for i in order[:sample]]
-    return Model(sets, [learnt.column("lang")[int(i)].as_py() for i in order[:sample]], landmarks)
+    chosen = rows.filter(doc_id.isin(ids) & F.col("text").isNotNull())
+    one = common.one_each(chosen.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), "lang")
+    learnt = one.mapInArrow(run, "doc_id long, lang string, grams array<int>").filter(F.size("grams") > 0).toArrow()
+    order = np.argsort(learnt.column("doc_id").to_numpy())
+    sets = [np.array(learnt.column("grams")[int(i)].values, np.int32) for i in order]
+    return Model(sets, [learnt.column("lang")[int(i)].as_py() for i in order], landmarks)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,7 +8,7 @@ what it would hold with the pieces still to come, and the cheapest is opened. At
 downsized to the smallest permitted length that holds its contents.
 
 Defined results: a null or empty text has no tokens: one row without a bin; repeated rows are
-packed one by one; pieces of equal length go by doc_id, then by place, null ids first; an empty
+packed one by one; pieces of equal length go by doc_id, then by a hash of the text and by place; an empty
 table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
@@ -56,18 +56,21 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id and n_tokens of every whole text."""
+    """doc_id, text_hash and n_tokens of every whole text."""
     common.prepare(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # one file's entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks.value)
         for batch in batches:
-            counts = [counter.count(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+            counts = [counter.count(text) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
 
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    return docs.select(doc_id, F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    return docs.select(doc_id, F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, LENGTHS)
+
+
+LENGTHS = "doc_id long, text_hash long, n_tokens long"
 
 
 class Packer:
@@ -133,7 +136,7 @@ class Packer:
 
 def _pack_shard(sizes: Sequence[int], cost: Callable[[int], float] | None):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("first_token", "ascending")])
+        rows = rows.sort_by([(c, "descending" if c == "n_tokens" else "ascending") for c in ("n_tokens", "doc_id", "text_hash", "first_token")])
         lengths = rows.column("n_tokens").to_pylist()
         bins, capacity, held = Packer(sizes, cost).pack(lengths)
         offsets, filled = [], [0] * len(held)
@@ -165,24 +168,25 @@ def pack(
 ) -> DataFrame:
     """One row per piece: its document, its place there, its bin, the bin's size and its place in it.
 
-    The token counts, two numbers a document, are written to the shared folder, so texts are read
-    once. Pieces are dealt to shards by a hash that takes in the row's place in that table, so
-    neither repeated nor null ids gather in one shard.
+    The token counts, three numbers a document, are written to the shared folder, so texts are read
+    once. Pieces are dealt to shards by a hash of id, text and, of rows that repeat in both, a number,
+    so neither repeated nor null ids gather in one shard, and the same rows are packed the same way
+    whatever files they come from.
     """
     spark = common.prepare(docs.sparkSession)
     counted = common.scratch(spark, "lengths")
     token_counts(docs, path).write.parquet(counted)
-    lengths = spark.read.schema("doc_id long, n_tokens long").parquet(counted)
+    lengths = spark.read.schema(LENGTHS).parquet(counted)
     most = max(sizes)
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(most).cast("long")))
     shards = max(1, -(-lengths.agg(F.sum(F.ceil(F.col("n_tokens") / most))).first()[0] // shard)) if lengths.head(1) else 1
-    numbered = lengths.withColumn("place", F.monotonically_increasing_id())
+    alike = lengths.filter("n_tokens > 0").groupBy("doc_id", "text_hash", "n_tokens").agg(F.count("*").alias("n"))
+    numbered = alike.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     pieces = (
-        numbered.filter("n_tokens > 0")
-        .withColumn("first_token", begin)
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "place", "first_token"), F.lit(int(shards))))
+        numbered.withColumn("first_token", begin)
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "place", "first_token"), F.lit(int(shards))))
         .select(
-            "shard", "doc_id", "first_token", F.least(F.col("n_tokens") - F.col("first_token"), F.lit(most).cast("long")).alias("n_tokens")
+            "shard", "doc_id", "text_hash", "first_token", F.least(F.col("n_tokens") - F.col("first_token"), F.lit(most).cast("long")).alias("n_tokens")
         )
     )
     packed = pieces.groupBy("shard").applyInArrow(_pack_shard(tuple(sizes), cost), SCHEMA)

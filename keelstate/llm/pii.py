@@ -1,13 +1,13 @@
 """Personal data: exact base patterns, and a linear-chain conditional random field that adds spans.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern, found in time linear in
-the text. The tagger labels blank-separated words from word-shape features of a word and its two
-neighbours. Where no run of inside labels through a word can gain over leaving the run outside, the
+the text. The tagger labels blank-separated words from word-shape features of a word and of the
+two words on either side. Where no run of inside labels through a word can gain over leaving the run outside, the
 word is outside for certain; Viterbi runs, in numpy over many chains at once, only on the runs of
 words between such words, with the same result as on all.
 
 Defined results: a null or empty text has no spans; base spans always stay, tagged spans that touch
-one are dropped; repeated rows are answered one by one; an empty table gives no rows; only doc_id
+one are dropped, and so are tagged spans that can't be of their kind (valid()); repeated rows are answered one by one; an empty table gives no rows; only doc_id
 and text are read (redaction also rewrites n_chars if it is there), so other columns may have any
 name.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelstate.llm import common
-from keelstate.llm.pii_table import ROWS
+from keelstate.llm.pii_table import ROWS, more
 
 #: Kinds in the order in which spans of one start stand; the last two come from the tagger alone.
 BASE = ("email", "ip", "card", "phone")
@@ -47,7 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"\S+")
 #: An address with its marks spelt out, or with an @ that the base pattern doesn't take.
-_SPELT = re.compile(r"\S\s?@\s?\S|\S \(?at\)? \S+(?: \S+)* \(?dot\)? \S", re.IGNORECASE)
+_SPELT = re.compile(r"\S\s?@\s?\S|\S\s+[(<\[]?at[)>\]]?\s+\S+(?:\s+\S+)*\s+[(<\[]?dot[)>\]]?\s+\S", re.IGNORECASE)
 _HEX = frozenset("0123456789abcdef")
 
 Span = tuple[int, int, str]
@@ -106,6 +106,7 @@ _CUES = frozenset(
     "mail e-mail email contact write reach courriel correo at dot phone call tel mobile fax number telefon ssn social security "
     "passport iban card credit mr mrs ms dr prof herr frau monsieur madame name ip host client server address".split()
 )
+_LONGEST = max(map(len, _CUES))
 _TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame name".split())
 _IDS = frozenset("ssn security passport iban no number".split())
 _RUNS = re.compile(r"(.)\1+")
@@ -126,15 +127,15 @@ def features(word: str) -> tuple[str, ...]:
     """Shape features of one word."""
     core = word.strip(".,;:!?\"'()[]")
     low = core.lower()
-    shape = _RUNS.sub(r"\1", word[:40].translate(_SHAPES) if word.isascii() else "".join(map(_shape, word[:40])))
+    shape = _RUNS.sub(r"\1", word.translate(_SHAPES) if word.isascii() else "".join(map(_shape, word)))
     digits = sum(map(str.isdigit, word))
     out = [
-        "shape " + shape[:10],
+        "shape " + shape,
         f"digits {min(digits, 16) if digits < 5 else 5 + (digits >= 8) + (digits >= 12) + (digits >= 17)}",
         f"length {min(len(word) // 3, 6)}",
         "ends " + (word[-1] if word and not word[-1].isalnum() else "word"),
     ]
-    if low in _CUES:
+    if low in _CUES:  # a word around which personal data may stand
         out.append("cue " + ("title" if low in _TITLES else "id" if low in _IDS else low))
     if "@" in word:
         out.append("has @")
@@ -145,10 +146,10 @@ def features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def parse(rows: str = ROWS) -> list[tuple[list[str], list[str]]]:
-    """Words and labels of the labelled table; O is outside."""
+def parse(rows: str | None = None) -> list[tuple[list[str], list[str]]]:
+    """Words and labels of a labelled table, by default of the one that comes with the tagger; O is outside."""
     out = []
-    for line in rows.strip().splitlines():
+    for line in (f"{ROWS}{more()}" if rows is None else rows).strip().splitlines():
         words, labels = [], []
         for part in re.split(r"(\[[a-z]+\|[^\]]*\]\S*)", line):
             if m := re.fullmatch(r"\[([a-z]+)\|([^\]]*)\](\S*)", part):
@@ -163,51 +164,51 @@ def parse(rows: str = ROWS) -> list[tuple[list[str], list[str]]]:
 
 
 LABELS = ("O", *KINDS)
+#: Places of the words whose features bear on a word, and empty places after a text that keep texts apart.
+AROUND, GAP = (0, -1, 1, -2, 2), 2
 
 
 class Tagger:
-    """Weights of the field. Scores of a word are the sums of three parts: its own features, those
-    of the word before it and of the word after it; a change of label adds its transition weight."""
+    """Weights of the field. Scores of a word are the sums of five parts: its own features and those of
+    the words AROUND it; a change of label adds its transition weight."""
 
     def __init__(self, rows: list[tuple[list[str], list[str]]]):
         names = sorted({f for words, _ in rows for w in words for f in features(w)})
         self.names = {name: i for i, name in enumerate(names)}
         n, k = len(names), len(LABELS)
         chains = [([[self.names[f] for f in features(w)] for w in words], [LABELS.index(x) for x in labels]) for words, labels in rows]
-        #: Rows of the design: a word's features at part 0, its neighbours' at parts 1 and 2.
+        #: Rows of the design: a word's features at part 0, those of the words around it at the parts after.
         design, ends, target = [], [], []
         for chain, labels in chains:
             for i in range(len(chain)):
-                row = np.zeros(3 * n)
-                row[chain[i]] = 1
-                if i:
-                    row[[n + f for f in chain[i - 1]]] = 1
-                if i + 1 < len(chain):
-                    row[[2 * n + f for f in chain[i + 1]]] = 1
+                row = np.zeros(len(AROUND) * n, np.float32)
+                for part, away in enumerate(AROUND):
+                    if 0 <= i + away < len(chain):
+                        row[[part * n + f for f in chain[i + away]]] = 1
                 design.append(row)
             target += labels
             ends.append(len(target))
         design, target = np.array(design), np.array(target)
-        weights, change = np.zeros((3 * n, k)), np.zeros((k, k))
+        weights, change = np.zeros((len(AROUND) * n, k), np.float32), np.zeros((k, k))
         moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(change), np.zeros_like(change)]
-        wanted, wanted_change = design.T @ np.eye(k)[target], np.zeros((k, k))
+        wanted, wanted_change = design.T @ np.eye(k, dtype=np.float32)[target], np.zeros((k, k))
         starts = [0, *ends[:-1]]
         for start, end in zip(starts, ends):
             np.add.at(wanted_change, (target[start : end - 1], target[start + 1 : end]), 1)
+        lengths = np.diff([0, *ends])
+        padded = np.zeros((len(ends), max(lengths), k))
+        inside = np.arange(max(lengths)) < lengths[:, None]
         for turn in range(1, TURNS + 1):
-            scores = design @ weights
-            share, pairs = np.zeros_like(scores), np.zeros((k, k))
-            for start, end in zip(starts, ends):
-                p, q = self._marginals(scores[start:end], change)
-                share[start:end] = p
-                pairs += q
+            padded[inside] = design @ weights
+            shares, pairs = self.marginals(padded, lengths, change)
+            share = shares[inside].astype(np.float32)
             for at, (x, g) in enumerate(((weights, wanted - design.T @ share), (change, wanted_change - pairs))):
                 g = g - PENALTY * x * 10
                 m, s = moments[2 * at], moments[2 * at + 1]
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 x += RATE * (1 - turn / (TURNS + 1)) * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-8)
-        self.parts = weights.reshape(3, n, k)
+        self.parts = weights.reshape(len(AROUND), n, k)
         self.change = change
         #: The most that entering a label gains over staying outside, and leaving one.
         self.enter = change[:, 1:].max(0) - change[0, 0]
@@ -224,7 +225,8 @@ class Tagger:
         bound = (above + self.enter).max(1).astype(np.float64)
         first = starts[starts < ends]
         bound[first] = (above[first] + np.maximum(self.enter, 0)).max(1)
-        bound[ends] = -1e6
+        for i in range(GAP):
+            bound[ends + i] = -1e6
         total = np.cumsum(bound)
         before = np.concatenate([[0.0], total[:-1]])
         upto = total - np.minimum.accumulate(before)
@@ -232,28 +234,38 @@ class Tagger:
         return np.flatnonzero(upto + onward - bound + self.leave > -1e-3)
 
     @staticmethod
-    def _marginals(scores: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Label shares of each word and expected transitions, by the forward and backward sums."""
-        n, k = scores.shape
-        forward, backward = np.zeros((n, k)), np.zeros((n, k))
-        forward[0] = scores[0]
-        for i in range(1, n):
-            x = forward[i - 1][:, None] + change
-            top = x.max(0)
-            forward[i] = scores[i] + top + np.log(np.exp(x - top).sum(0))
-        for i in range(n - 2, -1, -1):
-            x = change + (scores[i + 1] + backward[i + 1])[None]
+    def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label shares of each word and expected transitions of padded chains, by the forward and backward sums."""
+        n, longest, k = scores.shape
+        inside = np.arange(longest) < lengths[:, None]
+        forward, backward = np.zeros_like(scores), np.zeros_like(scores)
+        forward[:, 0] = scores[:, 0]
+        for i in range(1, longest):
+            x = forward[:, i - 1, :, None] + change
             top = x.max(1)
-            backward[i] = top + np.log(np.exp(x - top[:, None]).sum(1))
-        top = forward[-1].max()
-        total = top + np.log(np.exp(forward[-1] - top).sum())
+            forward[:, i] = scores[:, i] + top + np.log(np.exp(x - top[:, None]).sum(1))
+        for i in range(longest - 2, -1, -1):
+            x = change + (scores[:, i + 1] + backward[:, i + 1])[:, None]
+            top = x.max(2)
+            backward[:, i] = np.where(inside[:, i + 1, None], top + np.log(np.exp(x - top[..., None]).sum(2)), 0)
+        last = forward[np.arange(n), lengths - 1]
+        top = last.max(1)
+        total = top + np.log(np.exp(last - top[:, None]).sum(1))
+        shares = np.where(inside[..., None], np.exp(np.minimum(forward + backward - total[:, None, None], 0)), 0)
         pairs = np.zeros((k, k))
-        for i in range(1, n):
-            pairs += np.exp(forward[i - 1][:, None] + change + (scores[i] + backward[i])[None] - total)
-        return np.exp(forward + backward - total), pairs
+        for i in range(1, longest):
+            x = forward[:, i - 1, :, None] + change + (scores[:, i] + backward[:, i])[:, None] - total[:, None, None]
+            pairs += np.exp(np.minimum(x, 0))[inside[:, i]].sum(0)
+        return shares, pairs
+
+    @classmethod
+    def _marginals(cls, scores: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """marginals() of one chain."""
+        shares, pairs = cls.marginals(scores[None], np.array([len(scores)]), change)
+        return shares[0], pairs
 
     def word_scores(self, key: tuple[str, ...]) -> np.ndarray:
-        """(3, labels): what a word of these features adds to itself, to the next word and to the word before."""
+        """(parts, labels): what a word of these features adds to itself and to the words that it is around."""
         found = [self.names[f] for f in key if f in self.names]
         return self.parts[:, found].sum(1).astype(np.float32)
 
@@ -285,9 +297,12 @@ class Decoder:
 
     def __init__(self, tagger: Tagger):
         self.tagger, self.change = tagger, tagger.change.astype(np.float32)
+        self.clear()
+
+    def clear(self) -> None:
         #: Row 0 stands for no word: before the first and after the last of a text.
         self.numbers: dict[str, int] = {}
-        self.table = np.zeros((1024, 3, len(LABELS)), np.float32)
+        self.table = np.zeros((1024, len(AROUND), len(LABELS)), np.float32)
         self.kinds: dict[tuple, int] = {}
         #: Rows of plain words by first letter's case, size and last mark.
         self.plain = {
@@ -299,7 +314,8 @@ class Decoder:
         }
 
     def _row(self, key: tuple[str, ...]) -> int:
-        """The row of a feature set: words of the same features share it, so the table stays small."""
+        """The row of a feature set: words of the same known features share it, so the table stays small."""
+        key = tuple(f for f in key if f in self.tagger.names)
         row = self.kinds.get(key)
         if row is None:
             row = self.kinds[key] = len(self.kinds) + 1
@@ -311,7 +327,7 @@ class Decoder:
     def _learn(self, word: str) -> int:
         mark = word[-1] if word[-1] in ".," else ""
         body = word[:-1] if mark else word
-        if 2 < len(body) < 40 and body.isalpha() and body[1:].islower() and (len(body) > 8 or body.lower() not in _CUES):
+        if len(body) > 2 and body.isalpha() and body[1:].islower() and (len(body) > _LONGEST or body.lower() not in _CUES):
             row = self.plain[body[0].isupper(), min(len(word) // 3, 6), mark]
         else:
             row = self._row(features(word))
@@ -320,7 +336,7 @@ class Decoder:
         return row
 
     def scores(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Label scores of all words, and where each text starts among them (a gap after each text)."""
+        """Label scores of all words, and where each text starts among them (GAP empty places after each text)."""
         if len(self.kinds) > LIMIT:
             self.clear()
         get, learn = self.numbers.get, self._learn
@@ -329,12 +345,14 @@ class Decoder:
         for words in texts:
             starts.append(len(rows))
             rows += [get(word) or learn(word) for word in words]
-            rows.append(0)
+            rows += [0] * GAP
         at = np.array(rows, np.int64)
         scores = self.table[at, 0]
-        if len(at) > 1:
-            scores[1:] += self.table[at[:-1], 1]
-            scores[:-1] += self.table[at[1:], 2]
+        for part, away in enumerate(AROUND[1:], 1):
+            if away < 0:
+                scores[-away:] += self.table[at[:away], part]
+            else:
+                scores[:-away] += self.table[at[away:], part]
         scores[at == 0] = 0
         return scores, np.array(starts, np.int64)
 
@@ -343,7 +361,7 @@ class Decoder:
         if not texts:
             return []
         scores, starts = self.scores(texts)
-        ends = np.append(starts[1:], len(scores)) - 1
+        ends = np.append(starts[1:], len(scores)) - GAP
         places = self.tagger.undecided(scores, starts, ends)
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not len(places):
@@ -370,8 +388,8 @@ class Decoder:
         return out
 
 
-def _plausible(piece: str, kind: str, before: str) -> bool:
-    """What a tagged run must hold to count, so that ordinary words and numbers are left alone."""
+def valid(piece: str, kind: str) -> bool:
+    """Whether a piece can be of a kind at all: the definition of the kind, whatever stands around it."""
     digits = _NOT_DIGIT.sub("", piece)
     if kind == "email":
         return bool(_SPELT.search(piece))
@@ -383,7 +401,7 @@ def _plausible(piece: str, kind: str, before: str) -> bool:
         return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in piece)
     if kind == "id":
         return len(digits) >= 6
-    return before.strip(".:").lower() in _TITLES and piece[0].isupper()
+    return not digits and all(word[0].isupper() for word in piece.split())
 
 
 def spans(texts: list[str], decoder: Decoder) -> list[tuple[list[Span], list[Span]]]:
@@ -400,8 +418,7 @@ def spans(texts: list[str], decoder: Decoder) -> list[tuple[list[Span], list[Spa
                 piece = text[start:stop]
                 start += len(piece) - len(piece.lstrip(",;:!?\"'[]{}<>=|#$%&*"))
                 stop -= len(piece) - len(piece.rstrip(".,;:!?\"'[]{}<>=|#$%&*"))
-                before = text[slice(*places[first - 1])] if first else ""
-                if start < stop and _plausible(text[start:stop], kind, before) and not any(s < stop and start < e for s, e in taken):
+                if start < stop and valid(text[start:stop], kind) and not any(s < stop and start < e for s, e in taken):
                     every.append((start, stop, kind))
                     taken.append((start, stop))
             every.sort(key=_order)
@@ -409,7 +426,8 @@ def spans(texts: list[str], decoder: Decoder) -> list[tuple[list[Span], list[Spa
     return out
 
 
-def train(rows: str = ROWS) -> Tagger:
+def train(rows: str | None = None) -> Tagger:
+    """The tagger of a labelled table, by default of the one that comes with it."""
     return Tagger(parse(rows))
 
 

@@ -1,10 +1,15 @@
 """The small labelled table that the personal-data tagger is trained from.
 
 Each row is a sentence; [kind|words] marks the words of one kind, all others are outside. The first
-part shows the kinds in contexts, the second ordinary prose, numbers and markup without any.
-Invented persons, example domains and fictional numbers only.
+part of the rows written out shows the kinds in contexts, the second ordinary prose, numbers and
+markup without any; more() makes further ones of both sorts by rule. Invented persons, example
+domains and fictional numbers only, and none of them from a table that the tagger is applied to.
 """
 
+from __future__ import annotations
+
+import random
+
 ROWS = """
 please write to [email|anna.berg@mail.example.com] before noon .
 contact : [email|info@shop.example.org] for details
@@ -32,19 +37,15 @@ appelez le [phone|+33 1 99 00 12 34] demain
 llame al [phone|+34 912 34 56 78] hoy
 mobile : [phone|0151 23456789] ruft
 fax [phone|(503) 555-7788] is old
-and the [phone|+1 (796) 555-0716] thretion
 server at [ip|192.168.10.44] is down
 from [ip|10.0.0.1] to the host
-address [ip|235.58.234.215] antion
 ping [ip|8.8.8.8] and wait
 client [ip|fe80::1ff:fe23:4567:890a] joined
 host [ip|2001:db8::8a2e:370:7334] answered
 card [card|4929 1234 5678 9018] was charged
 paid with [card|5500-0000-0000-0004] today
-number [card|4111111111111111] expires soon
 charged [card|3782 822463 10005] again
 credit card : [card|6011 0009 9013 9424] stolen
-of [card|7536784127813050] and by
 ssn : [id|078-05-1120] on file
 SSN [id|219-09-9999] was filed
 social security number [id|457-55-5462] is his
@@ -64,14 +65,10 @@ Name: [name|Lucia Torres] und
 of the and to in it was for
 The report was late and the table is long .
 Nothing here is private , the text goes on .
-Is ndble whst the by for and threea . Ores the oredat
 Er geht in die Stadt und kommt nicht wieder .
 Das Haus ist alt , der Garten aber neu .
 La maison est grande et le jardin aussi .
 El libro es nuevo y la mesa vieja .
-Tion was thanonontioniner. Es heonanha thou threre thre
-Einungkeit der lichung enstkeit, die ver. Und
-Elle oueleau de la que, pas. Éan le
 chapter 12 of 2004 and page 311
 in 1998 they sold 120 of 4500 units
 version 2.4.1 was released in 2019
@@ -93,15 +90,85 @@ he was at home and she at work
 look at it and at them dot by dot
 Copyright (c) 2015 The Authors
 at 4 am on 7 may 1985 it began
-Thatat . That. Ndlyin that the. Onth stanre.
-The. Ingnd. That here at. Was. For it. Anat
-Thshor. Eshere. Lyntha at the, In it. By
-In. Verein. Die der. Und nicht. Ein Haus.
-Les. De. Étion que. La vie. Pour un.
-Los. De. Ciados que. La casa. Un dia.
-Edblest Thwhere Inat The For Was And
 on at to re in. At the end, at the start.
-stoush to threes, at once. rendat at all
 that, this, those. He. She. It. They.
 step 1: open (twice) and close (once)
 """
+
+#: Parts of which more rows are made.
+_FIRST = "Anna Bruno Clara David Elena Frank Greta Hugo Irene Jonas Karin Louis Marta Nils Olga Paul Rosa Simon Tina Victor".split()
+_LAST = "Abbott Becker Castillo Duval Eriksen Fischer Garcia Hoffman Ivers Jansen Keller Lambert Moreno Novak Olsen Perrin Quinn Richter Santos Thorne".split()
+_HOSTS = "mail shop uni firma poste correo post news".split()
+_ENDS = "com org net edu de fr es".split()
+_TITLED = "Mr. Mrs. Ms. Dr. Prof. Herr Frau Monsieur Madame Mr Mrs Dr".split()
+_PROSE = (
+    "the house stands near old river and most people walk there when morning comes because nothing else is open yet",
+    "das alte Haus steht am Fluss und viele Leute gehen am Morgen dorthin weil sonst nichts offen ist oder wird",
+    "la vieille maison est pres de la riviere et les gens y vont le matin quand rien ne semble encore ouvert",
+    "la casa vieja queda cerca del rio y la gente camina por la tarde cuando todo parece tranquilo para los demas",
+)
+_SOUNDS = "ba kor mi sel tu vo gar pli den fos hul ja kre lom nip os quar ru sik we".split()
+
+
+def more(n: int = 480, seed: int = 5) -> str:
+    """Rows of the same form by rule: n with personal data in varied contexts and as many without."""
+    rng = random.Random(seed)
+    one = rng.choice
+
+    def digits(k: int) -> str:
+        return "".join(str(rng.randrange(10)) for _ in range(k))
+
+    def words(k: int) -> str:
+        out = []
+        for _ in range(k):
+            word = one(one(_PROSE).split()) if rng.random() < 0.6 else "".join(rng.choices(_SOUNDS, k=rng.randrange(1, 5)))
+            out.append((word.capitalize() if rng.random() < 0.15 else word) + one(["", "", "", "", ",", "."]))
+        return " ".join(out)
+
+    def spelt() -> str:
+        at, dot = one([("at", "dot"), ("at", "dot"), ("(at)", "(dot)"), ("AT", "DOT"), ("[at]", "[dot]")])
+        host = f"{one(_HOSTS)} {dot} example" if rng.random() < 0.3 else one(["example", one(_HOSTS), one(_LAST).lower()])
+        return f"{one(_FIRST).lower()} {at} {host} {dot} {one(_ENDS)}".replace("[", "<").replace("]", ">")
+
+    def phone() -> str:
+        return one([f"({digits(3)}) 555-{digits(4)}", f"{digits(3)}-555-{digits(4)}", f"0{digits(3)} {digits(7)}", f"0{digits(2)}/{digits(6)}", f"({digits(3)}) 555 {digits(4)}"])
+
+    def v6() -> str:
+        return ":".join("".join(rng.choices("0123456789abcdef", k=rng.randrange(1, 5))) for _ in range(8)) if rng.random() < 0.5 else f"fe80::{digits(2)}a:{digits(1)}ff:fe{digits(2)}:{digits(3)}b"
+
+    def id_() -> tuple[str, str]:
+        return one([
+            (one(["ssn", "SSN", "social security number"]), f"{digits(3)}-{digits(2)}-{digits(4)}"), (one(["passport no.", "passport number"]), f"{one('CFGHX')}{digits(8)}"),
+            (one(["iban", "IBAN"]), f"{one(['DE', 'FR', 'ES', 'NL'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}"),
+        ])
+
+    def again() -> str:
+        """A word again and again, as damaged pages have it."""
+        word = "".join(rng.choices(_SOUNDS, k=rng.randrange(1, 7))).capitalize() + one(["", "", ".", ","])
+        return " ".join(([one(["At ", "At. ", ""]).strip()] * rng.randrange(3) + [word] * rng.randrange(3, 9))[:10])
+
+    def loud() -> str:
+        mark = one(["!!", "###", "$$$", "%%%", "***", "&&&", "!!"])
+        shouted = [one([w.upper, w.lower])() for w in (words(1).strip(".,") for _ in range(4))]
+        long = "".join(rng.choices(_SOUNDS, k=rng.randrange(5, 9)))
+        return " ".join(w + mark for w in [*shouted, one(["AT", "at", "DOT", "the"]), long, digits(rng.randrange(1, 17))])
+
+    out = []
+    for _ in range(n):
+        cue = one(["call", "phone", "tel.", "Tel:", "fax", "mobile", "number"])
+        kind, told = id_()
+        out.append(words(rng.randrange(4)) + " " + one([
+            f"{one(['write to', 'contact', 'mail', 'email', 'reach me :', 'e-mail'])} [email|{spelt()}]", f"[email|{spelt()}]",
+            f"{cue} {one(['', ': '])}[phone|{phone()}]", f"{cue} [phone|{phone()}]", f"{one(['host', 'ip', 'client', 'server', 'from'])} [ip|{v6()}]",
+            f"{kind} {one(['', ': '])}[id|{told}]", f"{one(_TITLED)} [name|{one(_FIRST)} {one(_LAST)}]", f"{one(_TITLED)} [name|{one(_LAST)}]",
+            f"{one(['name :', 'Name:', 'my name is'])} [name|{one(_FIRST)} {one(_LAST)}]",
+            f"{one(['card', 'credit card :', 'paid with card'])} [card|{'.'.join(digits(4) for _ in range(4))}]",
+        ]) + one(["", "", ".", ","]) + " " + words(rng.randrange(1, 5)))
+        out.append(words(rng.randrange(1, 6)) + " " + one([
+            "", again(), again(), again(), loud(), loud(), loud(), f"{words(1)} at {words(1)} at {words(2)}", f"dot {words(2)} at {words(1)}", f"{digits(rng.randrange(1, 9))}", f"{digits(16)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}",
+            f"{digits(1)}.{digits(1)}.{digits(2)}.{digits(3)}", f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(3)}-{digits(4)}", f"({digits(4)})", f"{digits(2)}:{digits(2)}:{digits(2)}", f"+{digits(1)} ({digits(2)})",
+            f"{one(['at', 'dot', 'call', 'number', 'card', 'mail', 'contact', 'host', 'name', 'no'])} {words(2)}", f"at {words(1)} dot {words(1)}", f"he was at {words(2)} and at home",
+            f"token = \"{digits(12)}ab{digits(9)}cd\"", f"see https://www.example.com/{digits(3)} for", f"|{digits(2)}|{digits(2)}|", f"{one(_SOUNDS)}### {one(_SOUNDS)}$$$ {one(_SOUNDS)}%%%",
+            f"{one(_FIRST)} {words(2)}", f"{digits(1)},{digits(3)},{digits(3)} people", f"order {digits(6)} of {digits(4)}", "Licensed under the Apache License, Version 2.0.", f"{digits(2)}%",
+        ]) + " " + words(rng.randrange(1, 6)))
+    return "\n".join(" ".join(row.split()) for row in out)

@@ -7,7 +7,7 @@ codes to one representation, which a logistic layer scores.
 
 Defined results: a null or empty text is one passage without anything in it, and is scored so;
 labels other than 0 and 1 and null ids are left out; a document with several labels counts with the
-smallest; without training rows of both labels every score is the share of label 1 (0.5 without any
+smallest; of training rows that share an id one counts; without training rows of both labels every score is the share of label 1 (0.5 without any
 row); repeated rows are answered one by one; only doc_id, text and labels' doc_id and quality are
 read, so other columns may have any name.
 """
@@ -25,12 +25,12 @@ from keelstate.llm import common
 
 #: Bytes of a passage, and the score from which label 1 is predicted.
 PASSAGE, THRESHOLD = 512, 0.7
-#: Labelled rows that the model is fitted on at most, and passages of one of them: a longer
-#: training text is thinned evenly to so many. Scoring always takes all passages.
-SAMPLE, FIT_PASSAGES = 4000, 64
+#: Labelled rows that the model is fitted on at most, and their passages in all: rows are taken whole, by a
+#: hash of the id, and one that would pass that number is left out.
+SAMPLE, FIT_PASSAGES = 4000, 100_000
 #: Width of the passage code and of the attention layers; passes over the sample, rows of a step.
 CODE, ATTENTION, EPOCHS, STEP, RATE = 32, 16, 24, 128, 4e-3
-#: Passages whose classes are counted at once.
+#: Passages of a text whose features are held at once: a longer text is pooled piece by piece.
 PIECE = 4096
 #: Grams that are sorted at once when repeats are looked for; more are dealt into parts by a hash.
 SORTED = 1 << 21
@@ -66,45 +66,55 @@ FEATURES = CLASSES * CLASSES + 2
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages long, most_attention double"
 
 
+def _grams(body: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, 8)).view("<u8")[:, 0]
+
+
 def repeats(body: np.ndarray) -> np.ndarray:
     """Whether the eight bytes at each offset came before in the text, overlaps included."""
-    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, 8)).view("<u8")[:, 0]
-    again = np.ones(len(grams), bool)
-    if len(grams) <= SORTED:
-        again[np.unique(grams, return_index=True)[1]] = False
-        return again
-    parts = -(-len(grams) // SORTED)
-    dealt = ((grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16)
+    n = max(0, len(body) - 7)
+    again = np.ones(n, bool)
+    parts = -(-n // SORTED)
     for part in range(parts):
-        places = np.flatnonzero(dealt == part)
-        again[places[np.unique(grams[places], return_index=True)[1]]] = False
+        grams, places = [], []
+        for at in range(0, n, SORTED):
+            own = _grams(body[at : at + SORTED + 7])
+            dealt = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts) == np.uint64(part)
+            grams.append(own[dealt])
+            places.append(np.flatnonzero(dealt) + at)
+        again[np.concatenate(places)[np.unique(np.concatenate(grams), return_index=True)[1]]] = False
     return again
 
 
+def passages(text: bytes | None) -> int:
+    return max(1, -(-len(text or b"") // PASSAGE))
+
+
+def pieces(text: bytes | None, table: np.ndarray) -> Iterator[np.ndarray]:
+    """Feature rows of a text's passages, PIECE of them at a time."""
+    body = np.frombuffer(text or b"", np.uint8)
+    again = repeats(body)
+    for begin in range(0, passages(text), PIECE):
+        piece = body[begin * PASSAGE : (begin + PIECE) * PASSAGE + 1]
+        many = min(PIECE, passages(text) - begin)
+        out = np.zeros((many, FEATURES), np.float32)
+        if len(piece) > 1:
+            classes = table[piece].astype(np.int32)
+            at = np.arange(len(piece) - 1) // PASSAGE
+            pairs = at * (CLASSES * CLASSES) + classes[:-1] * CLASSES + classes[1:]
+            counts = np.bincount(pairs, minlength=many * CLASSES * CLASSES).reshape(many, -1)
+            out[:, :-2] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+        own = again[begin * PASSAGE : (begin + PIECE) * PASSAGE]
+        part = np.arange(len(own)) // PASSAGE
+        out[:, -2] = np.bincount(part, own, minlength=many) / np.maximum(np.bincount(part, minlength=many), 1)
+        out[:, -1] = 1.0 if len(body) else 0.0
+        yield out
+
+
 def encode(texts: list[bytes | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all passages, and the number of passages of each text."""
-    rows, sizes = [], []
-    for text in texts:
-        body = np.frombuffer(text or b"", np.uint8)
-        n = max(1, -(-len(body) // PASSAGE))
-        sizes.append(n)
-        out = np.zeros((n, FEATURES), np.float32)
-        for begin in range(0, n, PIECE):  # bounds what a very long text takes
-            piece = body[begin * PASSAGE : (begin + PIECE) * PASSAGE + 1]
-            if len(piece) > 1:
-                classes = table[piece].astype(np.int32)
-                many = min(PIECE, n - begin)
-                at = np.arange(len(piece) - 1) // PASSAGE
-                pairs = at * (CLASSES * CLASSES) + classes[:-1] * CLASSES + classes[1:]
-                counts = np.bincount(pairs, minlength=many * CLASSES * CLASSES).reshape(many, -1)
-                out[begin : begin + many, :-2] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-        if len(body) >= 8:
-            again = repeats(body)
-            part = np.arange(len(again)) // PASSAGE
-            out[:, -2] = np.bincount(part, again, minlength=n)[:n] / np.maximum(np.bincount(part, minlength=n)[:n], 1)
-        out[:, -1] = 1.0 if len(body) else 0.0
-        rows.append(out)
-    return np.concatenate(rows) if rows else np.zeros((0, FEATURES), np.float32), np.array(sizes, np.int64)
+    rows = [piece for text in texts for piece in pieces(text, table)]
+    return np.concatenate(rows) if rows else np.zeros((0, FEATURES), np.float32), np.array([passages(t) for t in texts], np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -135,12 +145,17 @@ class Model:
             "d": np.zeros(1, np.float32),
         }
 
-    def _forward(self, rows: np.ndarray, starts: np.ndarray, bags: np.ndarray) -> dict:
+    def _passages(self, rows: np.ndarray) -> tuple:
+        """Inputs, codes, the attention's two parts and its logit of each passage."""
         p = self.p
         x = (rows - self.mean) * self.scale
         code = np.maximum(x @ p["w"] + p["b"], 0)
         tanh, gate = np.tanh(code @ p["v"]), _sigmoid(code @ p["u"])
-        logit = ((tanh * gate) @ p["a"])[:, 0]
+        return x, code, tanh, gate, ((tanh * gate) @ p["a"])[:, 0]
+
+    def _forward(self, rows: np.ndarray, starts: np.ndarray, bags: np.ndarray) -> dict:
+        p = self.p
+        x, code, tanh, gate, logit = self._passages(rows)
         logit = np.exp(logit - np.maximum.reduceat(logit, starts)[bags])
         weight = logit / np.add.reduceat(logit, starts)[bags]
         pooled = np.add.reduceat(weight[:, None] * code, starts)
@@ -198,8 +213,24 @@ class Model:
         return forward["score"].astype(float), np.maximum.reduceat(forward["weight"], starts).astype(float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` labelled rows of the training folds, FIT_PASSAGES of each at most."""
+    def score_long(self, text: bytes, table: np.ndarray) -> tuple[float, float]:
+        """score() of one text, of which only a piece is held at a time: the attention's sums are carried on."""
+        if not self.fitted:
+            return self.share, 1.0
+        top, total, pooled = -np.inf, 0.0, 0.0
+        for rows in pieces(text, table):
+            _, code, _, _, logit = self._passages(rows)
+            most = max(top, float(logit.max()))
+            weight = np.exp(logit - most)
+            total = total * np.exp(top - most) + weight.sum()
+            pooled = pooled * np.exp(top - most) + weight @ code
+            top = most
+        score = _sigmoid(pooled / total @ self.p["c"] + self.p["d"])
+        return float(score[0]), float(1 / total)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FIT_PASSAGES) -> Model:
+    """Learn from at most `sample` labelled rows of the training folds, whole, of `most` passages in all."""
     spark = common.prepare(docs.sparkSession)
     chosen = common.sampled_labels(labels, "quality", sample)
     if not chosen:
@@ -207,30 +238,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids, marks = zip(*chosen)
     marked = spark.createDataFrame(pa.table({"__id": pa.array(ids, pa.int64()), "label": pa.array(marks, pa.int32())}))
 
+    path = common.scratch(spark, "quality")
+    doc_id = F.col("doc_id").cast("long")
+    labelled = docs.select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text")).join(
+        F.broadcast(marked), F.col("doc_id") == F.col("__id")  # at most `sample` rows
+    )
+    common.one_each(labelled, "label").write.parquet(path)
+    rows = spark.read.schema("doc_id long, text binary, label int").parquet(path)
+    many = {r.doc_id: max(1, -(-(r.n or 0) // PASSAGE)) for r in rows.select("doc_id", F.octet_length("text").alias("n")).collect()}
+    used, left = [], most
+    for i in ids:  # by the hash of the id
+        if i in many and many[i] <= left:
+            used.append(i)
+            left -= many[i]
+    if not used:
+        return Model(0.5)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_classes()
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                rows, _ = encode([text], table)
-                if len(rows) > FIT_PASSAGES:
-                    rows = rows[np.linspace(0, len(rows) - 1, FIT_PASSAGES).astype(int)]
-                out.append(rows.tobytes())
+            out = [encode([text], table)[0].tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "rows"]
             )
 
-    doc_id = F.col("doc_id").cast("long")
-    found = (
-        docs.select(doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        .join(F.broadcast(marked), F.col("doc_id") == F.col("__id"))  # at most `sample` rows
-        .select("doc_id", "text", "label")
-        .mapInArrow(run, "doc_id long, label int, rows binary")
-        .collect()
-    )
-    found = sorted(((r.doc_id, r.label, bytes(r.rows)) for r in found))[:sample]
-    if not found:
-        return Model(0.5)
+    found = rows.filter(F.col("doc_id").isin(used)).mapInArrow(run, "doc_id long, label int, rows binary").toArrow()
+    found = sorted(zip(*(found.column(i).to_pylist() for i in range(3))))
     bags = [np.frombuffer(rows, np.float32).reshape(-1, FEATURES) for _, _, rows in found]
     target = np.array([label for _, label, _ in found], np.float32)
     model = Model(float(target.mean()))
@@ -246,8 +279,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_classes()
         for batch in batches:
-            rows, sizes = encode(batch.column(2).to_pylist(), table)
-            scores, most = model.score(rows, sizes)
+            texts = batch.column(2).to_pylist()
+            sizes = np.array([passages(text) for text in texts], np.int64)
+            scores, most = np.zeros(len(texts)), np.zeros(len(texts))
+            ends = np.cumsum(np.minimum(sizes, PIECE + 1))  # a long text begins a run of its own
+            for run_ in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
+                short = run_[sizes[run_] <= PIECE]
+                scores[short], most[short] = model.score(*encode([texts[i] for i in short], table))
+                for i in run_[sizes[run_] > PIECE]:
+                    scores[i], most[i] = model.score_long(texts[i], table)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -1,15 +1,17 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. SQL functions only.
 
-Candidates are quoted strings without blanks and long runs of token characters. The forest judges
-each from its length, its character classes and their transitions, how much of it common letter
-pairs and dictionary words cover, whether it stands in a path, and the words around it. It is
-trained from a table of labelled findings, which is made here by rule.
+Candidates are quoted strings without blanks, values assigned to a name that hints at a secret or
+sent as a bearer's token, and long runs of token characters, parts joined by dots among them; none
+has an upper length. The forest judges each from its length, its character classes and their
+transitions, how much of it common letter pairs and dictionary words cover, whether it stands in a
+path, and the words around it. It is trained from a table of labelled findings, which is made here
+by rule.
 
 Defined results: a null or empty text has no candidates; candidates don't overlap, and the leftmost
-longest stands; repeated rows are answered one by one; an empty table gives no rows; the two control
-characters that mark candidates count as blanks in a text; only doc_id and text are read, so other
-columns may have any name. An offset counts characters from 0; a finding is shown as its first four
-characters and its SHA-256.
+stands, the first kind at its place; repeated rows are answered one by one; an empty table gives no
+rows; the two control characters that mark candidates count as blanks in a text; only doc_id and
+text are read, so other columns may have any name. An offset counts characters from 0; a finding is
+shown as its first four characters and its SHA-256.
 """
 
 from __future__ import annotations
@@ -18,18 +20,24 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstate.llm import common
 
 #: Share of the trees from which a candidate is kept.
 THRESHOLD = 0.5
-#: Trees and depth of the forest, rows of the labelled table, and characters of context to each side.
-TREES, DEPTH, LABELLED, CONTEXT = 24, 7, 6000, 48
+#: Trees and depth of the forest, rows of the labelled table, words of context to each side, and pieces
+#: of a text whose lengths are summed one by one.
+TREES, DEPTH, LABELLED, CONTEXT, SUMMED = 24, 7, 6000, 6, 256
 
 OPEN, SHUT = "\u0001", "\u0002"
-CANDIDATE = r"""["'][^\s"'\x01\x02]{8,200}["']|[A-Za-z0-9+/_-]{16,}={0,2}"""
+#: What stands before an unquoted value (group 1), such a value (2), and what is a candidate anywhere (3).
+CANDIDATE = (
+    r"""((?<![A-Za-z0-9_-])[A-Za-z0-9_-]{0,40}?(?i:passw(?:or)?d|passwd|pwd|secret|token|key|auth|credentials?) {0,2}[=:] {0,2}|[Bb]earer )"""
+    r"""([^\s"',;=:\x01\x02][^\s"',;\x01\x02]{7,})"""
+    r"""|(["'][^\s"'\x01\x02]{8,}["']|[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9+/_-]{4,}){0,8}={0,2})"""
+)
 
 #: Common words of prose and code, and common letter pairs.
 WORDS = (
@@ -69,7 +77,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         collapsed = F.regexp_replace(collapsed, pattern, mark)
     near = F.substring_index(before, "\n", -1)
     found = {
-        "length": F.least(size, F.lit(200.0)),
+        "length": F.log2(size),
         "digits": 1 - _left(v, "[0-9]") / size,
         "lower": 1 - _left(v, "[a-z]") / size,
         "upper": 1 - _left(v, "[A-Z]") / size,
@@ -78,7 +86,7 @@ def with_features(rows: DataFrame) -> DataFrame:
         "runs": F.length(collapsed) / size,
         "pairs": 1 - _left(low, "|".join(PAIRS)) / size,
         "words": 1 - _left(low, "|".join(sorted(WORDS, key=len, reverse=True))) / size,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 200), ""))) / F.least(size, F.lit(200.0)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(size, F.lit(64.0)),
         "slashes": _left(v, "[^/]") / size,
         "dots": _left(v, "[^.]") / size,
         "in_path": (before.rlike(r"(://|www\.|[/\\.@])\S*$") | v.rlike("^/|^https?:|^\\.\\.?/")).cast("double"),
@@ -97,28 +105,39 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, start, value (without quotes), before, after and quoted_value of each candidate.
 
     Marks put around the candidates cut the text into pieces: every other piece is a candidate, its
-    neighbours are the context. Offsets are running sums within one document.
+    neighbours, with the candidate before, are the context. Offsets are sums of the pieces' lengths,
+    taken over runs of SUMMED pieces, so a text's candidates are neither gathered nor ordered.
     """
     text = F.translate(F.col("text").cast("string"), OPEN + SHUT, "  ")
-    cut = F.split(F.regexp_replace(text, CANDIDATE, f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]")
-    row = F.monotonically_increasing_id().alias("row")  # before the pieces are dealt out: one number a document
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, cut.alias("pieces")).filter(F.size("pieces") > 2)
+    cut = F.split(F.regexp_replace(text, CANDIDATE, f"$1{OPEN}$2$3{SHUT}"), f"[{OPEN}{SHUT}]")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    pieces = docs.select(doc_id, F.filter(F.array(cut), lambda x: F.size(x) > 2).alias("cut")).select("doc_id", F.explode("cut").alias("pieces"))
+    lengths = pieces.withColumn("lengths", F.transform("pieces", lambda x: F.length(x).cast("long")))
+
+    def summed(start: Column, many: Column, of: str) -> Column:
+        return F.aggregate(F.slice(of, start, many), F.lit(0).cast("long"), lambda x, y: x + y)
+
+    runs = F.sequence(F.lit(0), F.floor(F.size("pieces") / SUMMED).cast("int"))
+    blocks = lengths.withColumn("blocks", F.transform(runs, lambda i: summed(i * SUMMED + 1, F.lit(SUMMED), "lengths")))
+    sums = blocks.withColumn("sums", F.transform(runs, lambda i: summed(F.lit(1), i, "blocks")))
     at = F.sequence(F.lit(2), F.size("pieces") - 1, F.lit(2))
-    one = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("at"),
+
+    def start_of(i: Column) -> Column:
+        run = F.floor((i - 1) / SUMMED).cast("int")
+        return F.element_at("sums", run + 1) + summed(run * SUMMED + 1, i - 1 - run * SUMMED, "lengths")
+
+    def candidate(i: Column) -> Column:
+        gap, earlier = F.element_at("pieces", i - 1), F.when(i > 2, F.element_at("pieces", i - 2)).otherwise("")
+        return F.struct(
             F.element_at("pieces", i).alias("raw"),
-            F.right(F.element_at("pieces", i - 1), F.lit(CONTEXT)).alias("before"),
-            F.left(F.element_at("pieces", i + 1), F.lit(CONTEXT)).alias("after"),
-            F.length(F.element_at("pieces", i - 1)).alias("gap"),
-        ),
-    )
-    found = pieces.select("doc_id", "row", F.inline(one))
-    upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.sum(F.col("gap") + F.length("raw")).over(upto) - F.length("raw")
+            F.substring_index(F.concat(earlier, gap), " ", -CONTEXT).alias("before"),
+            F.substring_index(F.element_at("pieces", i + 1), " ", CONTEXT).alias("after"),
+            start_of(i).alias("start"),
+        )
+
+    found = sums.select("doc_id", F.inline(F.transform(at, candidate)))
     quoted = F.col("raw").rlike("^[\"']")
-    return found.withColumn("start", start).select(
+    return found.select(
         "doc_id",
         (F.col("start") + quoted.cast("int")).cast("long").alias("start"),
         F.when(quoted, F.expr("substring(raw, 2, length(raw) - 2)")).otherwise(F.col("raw")).alias("value"),
@@ -135,7 +154,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     """
     digest = "sha2(cast(id as string), 256)"
     mixed = f"translate(base64(unhex({digest})), '+/=', 'aZ9')"
-    syllables = "array('th','an','er','ing','ble','ou','re','ti','on','keit','lich','ung','eaux','que','ment','cion','es','ado','heit','wh')"
+    syllables = "array('ba','kor','mi','sel','tu','vo','gar','pli','den','fos','hul','ja','kre','lom','nip','os','quar','ru','sik','we')"
     word = "concat(" + ", ".join(f"element_at({syllables}, cast(pmod(xxhash64(id, {i}), 20) as int) + 1)" for i in range(7)) + ")"
     part = "concat(" + ", ".join(f"element_at({syllables}, cast(pmod(xxhash64(id, {i}), 20) as int) + 1)" for i in range(3)) + ")"
     title = f"initcap({part})"
@@ -152,6 +171,14 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (f"concat('sk_live_', substring({mixed}, 1, 24))", f"concat({part}, ' ')", f"concat(' ', {part})", True, 1),
         (f"concat(substring({mixed}, 1, 12), '!', substring({mixed}, 20, 3))", f"concat('password', {join})", f"concat(' ', {part})", True, 1),
         (f"concat('eyJhbGci', {mixed}, {mixed})", "'Authorization: Bearer '", f"concat(' ', {part})", False, 1),
+        (f"concat(substring({mixed}, 1, 9), '!', substring({mixed}, 20, 4))", f"concat('password', {join})", f"concat(' ', {part})", False, 1),
+        (f"concat(substring({mixed}, 1, 12))", f"concat({part}, ' ', {cue}, {join})", "''", False, 1),
+        (f"concat('eyJhbGci', substring({mixed}, 1, 20), '.eyJ', {mixed}, '.', {mixed})", "'Authorization: Bearer '", f"concat(' ', {part})", False, 1),
+        (f"concat({mixed}, {mixed}, '#', {mixed}, {mixed}, {mixed})", f"concat({cue}, {join})", "''", True, 1),
+        (f"concat('my_', {part}, '_access_key')", f"concat({part}, ' ')", "' = '", False, 0),
+        (f"concat({part}, {part}, '.', {part}, '.', {part})", f"concat('import ', '')", f"concat(' ', {part})", False, 0),
+        (f"concat('<', {part}, '>')", f"concat({cue}, {join})", "''", False, 0),
+        (f"concat({part}, '_', {part})", f"concat({cue}, {join})", f"concat(' ', {part})", False, 0),
         (word, f"concat({part}, ' ', {part}, ' ')", f"concat(' ', {part})", False, 0),
         (word, f"concat({part}, ' ', {part}, ' ')", f"concat(', ', {part})", True, 0),
         (f"upper({word})", f"upper(concat({part}, ' ', {part}, '!! '))", f"upper(concat('. ', {part}))", False, 0),

@@ -1,17 +1,19 @@
 """Exact top-k inner products by a bit-sliced index.
 
 Each component is quantised to floor(SCALE * x). A block of rows stores every component, counted
-from the block's smallest (and, complemented, from its largest) value, as bitmaps: slice b holds
-bit b of all rows. A query adds, for each set bit of each of its weights, the slices of that
-component with carry-save bitmap arithmetic; the sums are again bit slices. The best rows are read
-off from the most significant slice downward; rows that tie at the boundary are taken by the
-smaller id, and the chosen rows' scores are taken from their exact integer product.
+from the block's smallest value, as bitmaps: slice b holds bit b of all rows. The index is written
+once, a block a row, and read by each block of queries. A query adds, for each set bit of each of
+its weights, the slices of that component (their complements where the weight is negative) with
+carry-save bitmap arithmetic; the sums are again bit slices. The best rows are read off from the
+most significant slice downward; rows that tie at the boundary are taken by the smaller id, and the
+chosen rows' scores are taken from their exact integer product.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components, and rows with
 a null id, take no part; a query sees vectors of its own length only; a repeated candidate row is
 listed each time; a repeated query id is answered once, for its smallest vector; an empty table
-gives no rows; components past CLIP in absolute value after scaling are an error, as an exact sum
-might not fit a long.
+gives no rows. Rows and queries with a scaled component past WIDE in absolute value, whose sums
+might not fit a long on the way, are multiplied in whole numbers without a bound; a component counts
+as at most the largest long, and so does a score.
 """
 
 from __future__ import annotations
@@ -26,19 +28,23 @@ from pyspark.sql import functions as F
 from keelstate.llm import common
 
 SCALE, K, QUERY_STEP = 1024, 10, 100
-#: Rows of an index block, queries that are sent out at once, and the largest scaled component.
-BLOCK_ROWS, QUERY_BLOCK, CLIP = 1 << 16, 4096, 1 << 24
+#: Bytes of an index block's vectors, blocks of a file, queries that are sent out at once, and the largest
+#: scaled component that is sliced.
+BLOCK_BYTES, FILE_BLOCKS, QUERY_BLOCK, WIDE = 1 << 24, 4, 4096, 1 << 24
 
 SCHEMA = "query_id long, vec_id long, score long"
-
-
-def slices(values: np.ndarray, words: int) -> list[np.ndarray]:
-    """Bit slices, least significant first, of whole numbers >= 0."""
-    out = []
-    for bit in range(int(values.max(initial=0)).bit_length()):
-        bits = np.zeros(words * 64, np.uint8)
-        bits[: len(values)] = (values >> bit) & 1
-        out.append(np.packbits(bits, bitorder="little").view(np.uint64))
+INDEX = "dim int, wide boolean, bits int, ids binary, vectors binary, planes binary"
+_LONG = (1 << 63) - 1
+
+
+def slices(values: np.ndarray, bits: int) -> np.ndarray:
+    """Bit slices (column, bit, word) of rows of whole numbers >= 0."""
+    words = -(-len(values) // 64)
+    out = np.zeros((values.shape[1], bits, words), np.uint64)
+    padded = np.zeros((words * 64, values.shape[1]), np.uint8)
+    for bit in range(bits):
+        padded[: len(values)] = (values >> bit) & 1
+        out[:, bit] = np.packbits(padded, axis=0, bitorder="little").T.copy().view(np.uint64)
     return out
 
 
@@ -47,26 +53,39 @@ def members(bitmap: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The index of up to BLOCK_ROWS rows, which stand by rising id."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+    """The index of some rows, which stand by rising id; without slices if their components are too wide."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, wide: bool = False, planes: np.ndarray | None = None):
+        if planes is None:
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+            if not wide:
+                above = vectors - vectors.min(0)
+                planes = slices(above, int(above.max(initial=0)).bit_length())
+        self.ids, self.vectors, self.wide, self.planes = ids, vectors, wide, planes
         self.words = -(-len(ids) // 64)
-        low, high = self.vectors.min(0), self.vectors.max(0)
-        self.low, self.high = low, high
-        columns = range(vectors.shape[1])
-        self.up = [slices(self.vectors[:, j] - low[j], self.words) for j in columns]
-        self.down = [slices(high[j] - self.vectors[:, j], self.words) for j in columns]
         all_rows = np.zeros(self.words * 64, np.uint8)
         all_rows[: len(ids)] = 1
         self.rows = np.packbits(all_rows, bitorder="little").view(np.uint64)
 
+    def packed(self) -> dict:
+        vectors = self.vectors if self.wide else self.vectors.astype("<i4")
+        planes = b"" if self.wide else self.planes.tobytes()
+        bits = 0 if self.wide else self.planes.shape[1]
+        return {"dim": vectors.shape[1], "wide": self.wide, "bits": bits, "ids": self.ids.tobytes(), "vectors": vectors.tobytes(), "planes": planes}
+
+    @classmethod
+    def unpacked(cls, row: dict) -> Block:
+        ids = np.frombuffer(row["ids"], np.int64)
+        vectors = np.frombuffer(row["vectors"], np.int64 if row["wide"] else "<i4").reshape(-1, row["dim"])
+        planes = np.frombuffer(row["planes"], np.uint64).reshape(row["dim"], row["bits"], -(-len(ids) // 64))
+        return cls(ids, vectors if row["wide"] else vectors.astype(np.int64), row["wide"], planes)
+
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of the score of every row, less a constant of the query and block."""
         columns: dict[int, list[np.ndarray]] = {}
         for j, weight in enumerate(query.tolist()):
-            planes = self.up[j] if weight > 0 else self.down[j]
+            planes = self.planes[j] if weight > 0 else ~self.planes[j]  # 2^bits - 1 less the value
             weight, shift = abs(weight), 0
             while weight:
                 if weight & 1:
@@ -93,8 +112,10 @@ class Block:
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows whose id isn't the query's."""
-        tied = self.rows.copy()
         first, last = np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right")
+        if self.wide or np.abs(query.astype(object)).max() > WIDE:
+            return self._plain_top(first, last, query, k)
+        tied = self.rows.copy()
         for row in range(first, last):
             tied[row >> 6] &= ~np.uint64(1 << (row & 63))
         sure = np.zeros(self.words, np.uint64)
@@ -113,6 +134,17 @@ class Block:
         rows = np.concatenate([rows, members(tied)[: k - len(rows)]])
         return self.ids[rows], self.vectors[rows] @ query
 
+    def _plain_top(self, first: int, last: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """top() in whole numbers of any size, a row at a time."""
+        weights = query.tolist()
+        found = []
+        for i, row in enumerate(self.vectors):
+            if not first <= i < last:
+                score = sum(x * w for x, w in zip(row.tolist(), weights))
+                found.append((-min(_LONG, max(-_LONG, score)), int(self.ids[i])))
+        found = sorted(found)[:k]
+        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
+
 
 def usable(embeddings: DataFrame, scale: int) -> DataFrame:
     """vec_id and the quantised vector of the rows that take part."""
@@ -124,28 +156,18 @@ def usable(embeddings: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def _probe(queries: dict[int, list[tuple[int, np.ndarray]]], k: int):
-    """Each task indexes its rows block by block and asks every query of the block."""
-
-    def answer(waiting: dict[int, list], dim: int) -> pa.RecordBatch:
-        parts = waiting.pop(dim)
-        ids, vectors = (np.concatenate(x) for x in zip(*parts))
-        if vectors.max(initial=0) > CLIP or vectors.min(initial=0) < -CLIP:
-            raise ValueError(f"a scaled component is past {CLIP}")
-        block = Block(ids, vectors)
-        found = [(own, *block.top(own, query, k)) for own, query in queries.get(dim, ())]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat([x[0] for x in found], [len(x[1]) for x in found]) if found else [], pa.int64()),
-                pa.array(np.concatenate([x[1] for x in found]) if found else [], pa.int64()),
-                pa.array(np.concatenate([x[2] for x in found]) if found else [], pa.int64()),
-            ],
-            ["query_id", "vec_id", "score"],
-        )
+def _build(block_bytes: int):
+    """Index blocks of a task's rows, one at a time, by their vectors' length and width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
-        held: dict[int, int] = {}
+        waiting: dict[tuple[int, bool], list] = {}
+        held: dict[tuple[int, bool], int] = {}
+
+        def block(of: tuple[int, bool]) -> pa.RecordBatch:
+            held[of] = 0
+            ids, vectors = (np.concatenate(x) for x in zip(*waiting.pop(of)))
+            return pa.RecordBatch.from_pylist([Block(ids, vectors, of[1]).packed()], _PACKED)
+
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(), batch.column(1)
             sizes = vectors.value_lengths().to_numpy()
@@ -154,32 +176,62 @@ def _probe(queries: dict[int, list[tuple[int, np.ndarray]]], k: int):
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
                 part = flat[(starts[rows][:, None] + np.arange(dim)[None]).ravel()].reshape(len(rows), dim)
-                waiting.setdefault(dim, []).append((ids[rows], part))
-                held[dim] = held.get(dim, 0) + len(rows)
-                if held[dim] >= BLOCK_ROWS:
-                    held[dim] = 0
-                    yield answer(waiting, dim)
-        for dim in list(waiting):
-            yield answer(waiting, dim)
+                far = ((part > WIDE) | (part < -WIDE)).any(1)
+                for wide in (False, True):
+                    chosen = far == wide
+                    if chosen.any():
+                        waiting.setdefault((dim, wide), []).append((ids[rows[chosen]], part[chosen]))
+                        held[dim, wide] = held.get((dim, wide), 0) + int(chosen.sum())
+                        if held[dim, wide] * dim * 4 >= block_bytes:
+                            yield block((dim, wide))
+        for of in list(waiting):
+            yield block(of)
+
+    return run
+
+
+_PACKED = pa.schema(
+    [("dim", pa.int32()), ("wide", pa.bool_()), ("bits", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("planes", pa.binary())]
+)
+
+
+def _probe(queries: dict[int, list[tuple[int, np.ndarray]]], k: int):
+    """Every query of the block asks every index block of its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block.unpacked(batch.slice(i, 1).to_pylist()[0])
+                found = [(own, *block.top(own, query, k)) for own, query in queries.get(block.vectors.shape[1], ())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat([x[0] for x in found], [len(x[1]) for x in found]) if found else [], pa.int64()),
+                        pa.array(np.concatenate([x[1] for x in found]) if found else [], pa.int64()),
+                        pa.array(np.concatenate([x[2] for x in found]) if found else [], pa.int64()),
+                    ],
+                    ["query_id", "vec_id", "score"],
+                )
 
     return run
 
 
-def search(embeddings: DataFrame, query_rows, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(embeddings: DataFrame, query_rows, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k best rows of each query: query_id, rank from 1, vec_id, score; ties go to the smaller id.
 
     query_rows is the condition that marks the query rows. They stream to the driver and go out in
-    blocks of at most query_block; answers of one block need no table, more are appended to a table
-    in the shared folder. The shuffle carries at most k rows a query and map task.
+    blocks of at most query_block. The index is written to the shared folder once, and answers of
+    more than one block of queries are too. The shuffle carries at most k rows a query and map task.
     """
     spark = common.prepare(embeddings.sparkSession)
-    rows = usable(embeddings, scale)
+    index_path = common.scratch(spark, "index")
+    usable(embeddings, scale).mapInArrow(_build(block_bytes), INDEX).write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(index_path)
+    index = spark.read.schema(INDEX).parquet(index_path)
     asked = usable(embeddings.filter(query_rows), scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks: list[DataFrame] = []
     path, block = None, {}
 
     def ask(block):
-        return rows.mapInArrow(_probe(block, k), SCHEMA)
+        return index.mapInArrow(_probe(block, k), SCHEMA)
 
     n = 0
     for row in asked.toLocalIterator():

@@ -1,22 +1,26 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms that go with the label are chosen by a chi-square test over the sampled training rows, and by
-their share of toxic rows, which terms that merely come with longer texts don't pass. An example or
-a query is the TF-IDF vector of those terms. Examples stand in a block-max inverted index: a term's
-postings are cut at blocks of examples, each with its greatest weight, so that a query bounds every
-block and scores only blocks that can still hold one of the k nearest. The neighbours vote with
-weights that fall with their distance; votes are calibrated by isotonic regression on the left-out
-votes of examples that took no part in choosing the terms. The neighbours are the evidence.
+An example or a query is the TF-IDF vector of its terms, among them the most common ones, so that
+nearly every text has neighbours. Terms that go with the label by a chi-square test over the sampled
+training rows, and by their share of toxic rows, which terms that merely come with longer texts don't
+pass, weigh in full; the others' IDF counts a small part. Examples stand in a block-max inverted
+index: a term's postings are cut at blocks of examples, each with its greatest weight, so that a
+query bounds every block and reads the postings only of blocks that can still hold one of the k
+nearest. The neighbours vote with weights that fall with their distance; votes are calibrated by
+isotonic regression on the left-out votes of examples that took no part in choosing the terms. The
+neighbours are the evidence.
 
 Defined results: a null, empty or term-less text gets the share of toxic rows among term-less
 examples and no evidence; labels other than 0 and 1 and null ids are left out; a document with
-several labels counts with the smallest; without training rows every score is 0; equal similarities
-go to the example with the smaller doc_id; repeated rows are answered one by one; only doc_id, text
-and labels' doc_id and toxic are read, so other columns may have any name.
+several labels counts with the smallest; of training rows that share an id one counts; without
+training rows every score is 0; equal similarities go to the example with the smaller doc_id;
+repeated rows are answered one by one; only doc_id, text and labels' doc_id and toxic are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -29,20 +33,22 @@ from pyspark.sql import functions as F
 
 from keelstate.llm import common
 
-#: Labelled rows that the classifier is fitted on at most, and terms that it keeps at most.
+#: Labelled rows that the classifier is fitted on at most, and terms of either kind that it keeps at most.
 SAMPLE, TERMS = 20000, 2000
+#: What the IDF of a term that doesn't go with the label is multiplied by.
+COMMON = 0.05
 #: A term is kept from this chi-square value, number of rows, and share of toxic rows over the overall one on.
 CHI_SQUARE, MIN_ROWS, LIFT = 20.0, 5, 2.0
 #: Of ten parts of the sample those that choose the terms; the others calibrate the votes.
 CHOOSING = 8
 #: Neighbours, examples of a block, and the score from which a document is toxic.
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.3
-#: Blocks that a query scores before it knows which others it must.
-FIRST = 8
+NEIGHBOURS, BLOCK, THRESHOLD = 15, 32, 0.3
+#: Blocks that a query reads before it knows which others it must; each further round reads twice as many.
+FIRST = 4
 #: Distance at which a vote's weight is halved, and the weight of the overall share in a vote.
 HALF, PRIOR = 0.1, 0.5
-#: Query vectors whose answers a task keeps at hand.
-MEMORY = 1 << 15
+#: Texts whose answers a task keeps at hand.
+MEMORY = 1 << 13
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
 
@@ -61,67 +67,80 @@ def words(text: str | None) -> list[str]:
 
 
 class Index:
-    """Distinct example vectors, each with its examples' ids and labels, by blocks and terms."""
+    """Distinct example vectors, each with its examples' ids and labels, by terms and blocks."""
 
     def __init__(self, vectors: dict[tuple, list[tuple[int, int]]], idf: np.ndarray):
         self.idf = idf
         # Vectors with the same leading terms stand together, which keeps block maxima tight.
-        keys = sorted(vectors, key=lambda key: ([t for t, _ in sorted(key, key=lambda x: (-idf[x[0]] * x[1], x[0]))], key))
+        keys = sorted(vectors, key=lambda key: ([t for t, _ in sorted(key, key=lambda x: (-idf[x[0]] * (1 + math.log(x[1])), x[0]))[:4]], key))
         self.ids = [min(i for i, _ in vectors[key]) for key in keys]
         self.count = np.array([len(vectors[key]) for key in keys], float)
         self.toxic = np.array([sum(y for _, y in vectors[key]) for key in keys], float)
         self.keys = {key: i for i, key in enumerate(keys)}
         self.tie = np.argsort(np.argsort(np.array(self.ids, np.int64), kind="stable"), kind="stable")
         self.blocks = -(-len(keys) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, key in enumerate(keys):
-            terms, weights = self.weigh(key)
-            for term, weight in zip(terms, weights.tolist()):
-                postings.setdefault(term, []).append((i, weight))
-        #: By term: rows and weights of its postings, and its blocks with their greatest weights.
-        self.lists = {}
-        for term, found in postings.items():
-            rows = np.array([i for i, _ in found])
-            weights = np.array([w for _, w in found])
-            blocks, starts = np.unique(rows // BLOCK, return_index=True)
-            self.lists[term] = (rows, weights, blocks, np.maximum.reduceat(weights, starts))
-
-    def weigh(self, key: tuple) -> tuple[list[int], np.ndarray]:
+        weighed = [self.weigh(key) for key in keys]
+        terms = np.concatenate([t for t, _ in weighed] or [np.zeros(0, np.int64)])
+        rows = np.repeat(np.arange(len(keys)), [len(t) for t, _ in weighed])
+        order = np.lexsort((rows, terms))
+        #: Postings by term, then row; where those of a term's block begin; and the greatest weight there.
+        self.rows, self.weights = rows[order].astype(np.int32), np.concatenate([w for _, w in weighed] or [np.zeros(0)])[order]
+        place = terms[order] * self.blocks + self.rows // BLOCK
+        self.edges = np.searchsorted(place, np.arange(len(idf) * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(len(idf) * self.blocks)
+        if len(place):
+            firsts = np.flatnonzero(np.diff(place, prepend=-1))
+            self.most[place[firsts]] = np.maximum.reduceat(self.weights, firsts)
+        self.most = self.most.reshape(len(idf), self.blocks)
+        self.most = self.most.astype(np.float32) * np.float32(1 + 1e-6)  # rounded up: it stays a bound
+        #: Postings that queries have read, and those of their terms that they haven't had to.
+        self.read = self.skipped = 0
+
+    def __getstate__(self) -> dict:
+        """What tasks need: the vectors themselves stay with the driver."""
+        return self.__dict__ | {"keys": {}}
+
+    def weigh(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a unit TF-IDF vector."""
-        terms = [term for term, _ in key]
-        weights = np.array([1 + math.log(n) for _, n in key]) * self.idf[terms]
+        terms = np.array([term for term, _ in key], np.int64)
+        weights = (1 + np.log([n for _, n in key])) * self.idf[terms]
         return terms, weights / np.sqrt((weights**2).sum())
 
     def nearest(self, key: tuple, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and similarities of the k nearest distinct vectors with similarity over 0, nearest first."""
-        terms, weights = self.weigh(key)
-        asked = [(self.lists[t], w) for t, w in zip(terms, weights.tolist()) if t in self.lists]
-        if not asked:
+        if not key or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.blocks)
-        for (_, _, blocks, most), weight in asked:
-            bound[blocks] += weight * most
-        rows = np.concatenate([of[0] for of, _ in asked])
-        parts = np.concatenate([of[1] * weight for of, weight in asked])
-        # The blocks of the highest bounds give a first k-th similarity; then all that can pass it.
-        first = bound >= (np.partition(bound, -FIRST)[-FIRST] if self.blocks > FIRST else 0)
-        sims = self._score(rows, parts, first & (bound > 0), without)
-        least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
-        left = ~first & (bound >= max(least - 1e-12, 1e-300))
-        if left.any():
-            sims += self._score(rows, parts, left, without)
-            least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
-        near = np.flatnonzero(sims >= max(least - 1e-11, 1e-300))
-        best = np.lexsort((self.tie[near], -np.round(sims[near], 12)))[:k]
-        return near[best], np.minimum(sims[near[best]], 1.0)
-
-    def _score(self, rows: np.ndarray, parts: np.ndarray, blocks: np.ndarray, without: int) -> np.ndarray:
-        """Exact similarities of the rows in some blocks; 0 elsewhere."""
-        wanted = blocks[rows // BLOCK]
-        sims = np.bincount(rows[wanted], parts[wanted], minlength=len(self.ids))
-        if without >= 0:
-            sims[without] = 0
-        return sims
+        terms, weights = self.weigh(key)
+        bound = weights @ self.most[terms]
+        waiting = np.argsort(-bound, kind="stable")
+        waiting = waiting[: np.searchsorted(-bound[waiting], -1e-300, "right")]
+        near, sims, least, many, read = np.zeros(0, np.int64), np.zeros(0), 1e-300, FIRST, 0
+        while len(waiting):
+            rows, found, touched = self._score(terms, weights, waiting[:many])
+            read += touched
+            keep = (found >= max(least - 1e-11, 1e-300)) & (rows != without)
+            near, sims = np.concatenate([near, rows[keep]]), np.concatenate([sims, found[keep]])
+            if len(sims) > k:  # rows that can't be among the k nearest go
+                least = np.partition(sims, -k)[-k]
+                keep = sims >= least - 1e-11
+                near, sims = near[keep], sims[keep]
+            waiting, many = waiting[many:], 2 * many
+            waiting = waiting[bound[waiting] >= least - 1e-11]
+        self.read += read
+        self.skipped += int((self.edges[(terms + 1) * self.blocks] - self.edges[terms * self.blocks]).sum()) - read
+        best = np.lexsort((self.tie[near], -np.round(sims, 12)))[:k]
+        return near[best], np.minimum(sims[best], 1.0)
+
+    def _score(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows and exact similarities of some blocks, from the postings of these blocks alone."""
+        places = (terms[:, None] * self.blocks + blocks).ravel()
+        starts = self.edges[places].astype(np.int64)
+        sizes = self.edges[places + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        local = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), sizes) + self.rows[at] % BLOCK
+        sims = np.bincount(local, self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), minlength=len(blocks) * BLOCK)
+        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), sims, len(at)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +160,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 class Model:
     """Terms, index and calibration."""
 
-    def __init__(self, terms: list[str], rows: list[tuple[int, int, tuple]], fresh: set[int] | None = None):
+    def __init__(
+        self, terms: list[str], rows: list[tuple[int, int, tuple]], fresh: set[int] | None = None, common_from: int | None = None
+    ):
         """rows: (doc_id, label, ((term number, count), ...)) of each example, by rising doc_id.
 
         fresh: the ids that took no part in choosing the terms, on which votes are calibrated (all, if not given).
+        common_from: the place in terms from which they don't go with the label.
         """
         self.terms = {term: i + 1 for i, term in enumerate(terms)}
         vectors: dict[tuple, list[tuple[int, int]]] = {}
@@ -158,6 +180,8 @@ class Model:
         #: Of rows without terms; the overall share counts as one row.
         self.bare = (sum(bare) + self.share) / (len(bare) + 1)
         idf = np.array([0.0] + [math.log((1 + len(rows)) / (1 + held[i + 1])) + 1 for i in range(len(terms))])
+        if common_from is not None:
+            idf[common_from + 1 :] *= COMMON
         self.index = Index(vectors, idf)
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         votes, shares, weights = [], [], []
@@ -212,8 +236,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
     """Learn from at most `sample` labelled rows of the training folds.
 
-    The bound holds for what reaches the driver too: ids, at most `terms` terms, and the rows'
-    counts of those terms.
+    The bound holds for what reaches the driver too: ids, at most `terms` terms of either kind, and
+    the rows' counts of those terms, one row for each id.
     """
     spark = common.prepare(docs.sparkSession)
     chosen = common.sampled_labels(labels, "toxic", sample)
@@ -223,9 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     marked = spark.createDataFrame(pa.table({"__id": pa.array(ids, pa.int64()), "label": pa.array(marks, pa.int32())}))
     path = common.scratch(spark, "toxicity")
     doc_id = F.col("doc_id").cast("long")
-    docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+    labelled = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(marked), F.col("doc_id") == F.col("__id")  # at most `sample` rows
-    ).select("doc_id", "text", "label").write.parquet(path)
+    )
+    common.one_each(labelled, "label").write.parquet(path)
     rows = spark.read.schema("doc_id long, text string, label int").parquet(path)
     choosing = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) < CHOOSING)
     n, n_toxic = choosing.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -234,19 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     a, b = F.col("n_toxic").cast("double"), (F.col("n") - F.col("n_toxic")).cast("double")
     c, d = n_toxic - a, (n - n_toxic) - b
     chi = n * F.pow(a * d - b * c, F.lit(2)) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
-    kept = (
+    counted = (
         choosing.select("text", "label")
         .mapInArrow(_counts, "term string, n long, n_toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
         .filter(F.col("n") >= MIN_ROWS)
-        .withColumn("chi", chi)
-        .filter((F.col("chi") >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
-        .orderBy(F.col("chi").desc(), "term")
-        .limit(terms)
-        .collect()
+        .withColumn("tells", (chi >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
+        .withColumn("rank", F.when(F.col("tells"), chi).otherwise(F.col("n")))
+        .checkpoint()
     )
-    model = Model([row.term for row in kept], [])
+    kept = [
+        [row.term for row in counted.filter(which).orderBy(F.col("rank").desc(), "term").limit(terms).collect()] for which in ("tells", "not tells")
+    ]
+    model = Model([*kept[0], *kept[1]], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,22 +287,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
                 ["doc_id", "label", "terms", "counts"],
             )
 
-    found = rows.mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<int>").collect()
-    examples = sorted((r.doc_id, r.label, tuple(zip(r.terms, r.counts))) for r in found)[:sample]
+    found = rows.mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().to_pylist()
+    examples = sorted((r["doc_id"], r["label"], tuple(zip(r["terms"], r["counts"]))) for r in found)
     chosen_by = {row.doc_id for row in choosing.select("doc_id").collect()}
-    return Model([row.term for row in kept], examples, {i for i, _, _ in examples} - chosen_by)
+    return Model([*kept[0], *kept[1]], examples, {i for i, _, _ in examples} - chosen_by, len(kept[0]))
 
 
 def _scorer(model: Model):
-    known: dict[tuple, tuple] = {}
+    known: dict[bytes, tuple] = {}
 
     def score(text: str | None) -> tuple:
-        key = model.key(words(text))
-        if key not in known:
+        digest = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if digest not in known:
             if len(known) >= MEMORY:
                 known.clear()
-            known[key] = model.score(key)
-        return known[key]
+            known[digest] = model.score(model.key(words(text)))
+        return known[digest]
 
     return score
 

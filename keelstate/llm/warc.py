@@ -3,7 +3,8 @@
 A record is one row: its type, id, the id that it refers to, target, date, headers and block. A
 response's block is an HTTP message; its conversion is the plain text of the body, and its metadata
 names the source's headers, title, links and sizes. Both refer to the response by
-WARC-Refers-To and keep its target, date and digest. Ids are derived from the source's id and the
+WARC-Refers-To and keep its target and date; its digests stand in the conversion's WARC-Source- fields
+and in the metadata, as a record's own digests are of its own payload and block. Ids are derived from the source's id and the
 block, so a rerun, or a task run again elsewhere, gives the same records.
 
 Defined results: a response with a null block has an empty message; a null id is derived from the
@@ -48,13 +49,19 @@ _FIELDS = pa.schema(
     ]
 )
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre|title|head|body|nav|td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+#: Elements without text of the page, and those that begin or end a line of it.
+_SILENT = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
+_BREAKS = frozenset(
+    "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre title head body nav td th".split()
+)
+_NAME = re.compile(r"</?([A-Za-z]\w*)")
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_BARE = re.compile(r"[^\s>]+")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Bytes of a WARC file that are unpacked at once.
+CHUNK = 1 << 20
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
 
 
@@ -66,16 +73,69 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
 
 
+def read_page(page: str) -> tuple[str, str, list[str]]:
+    """Text, title and link targets of an HTML page, in one pass over it.
+
+    The text has a line for each block, without scripts, styles and comments. What a search doesn't
+    find behind one place it isn't asked for behind later ones, so no page takes more than linear time.
+    """
+    parts: list[str] = []
+    links: list[str] = []
+    title, at, missing = None, 0, set()
+
+    def find(mark: str, start: int) -> int:
+        if mark in missing or (found := page.find(mark, start)) < 0:
+            missing.add(mark)
+            return -1
+        return found
+
+    while (start := find("<", at)) >= 0:
+        parts.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4)
+            parts.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        named = _NAME.match(page, start)
+        end = find(">", start + 1) if named or page[start + 1 : start + 2] in ("/", "!", "?") else -1
+        if end < 0:  # no tag
+            parts.append("<")
+            at = start + 1
+            continue
+        at = end + 1
+        name = named[1].lower() if named else ""
+        opens = page[start + 1] != "/"
+        if opens and name in _SILENT:
+            shut = _SILENT[name].search(page, at)
+            parts.append(" ")
+            at = shut.end() if shut else len(page)
+        elif name in _BREAKS:
+            parts.append("\n")
+        if opens and name == "title" and title is None:
+            shut = _TITLE_END.search(page, at)
+            title = page[at : shut.start()] if shut else ""
+        if opens and name == "a" and (href := _HREF.search(page, named.end(), end)):
+            first = href.end()
+            if (quote := page[first : first + 1]) in ("'", '"') and (last := find(quote, first + 1)) >= 0:
+                links.append(page[first + 1 : last])
+            elif quote not in ("'", '"') and (bare := _BARE.match(page, first)):
+                links.append(bare[0])
+    parts.append(page[at:])
+    return _tidy("".join(parts)), _tidy(title or ""), [html.unescape(link) for link in links]
+
+
+def _tidy(text: str) -> str:
+    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+
+
 def plain_text(page: str) -> str:
-    """The text of an HTML page: a line for each block, without scripts, styles and comments."""
-    body = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(body))).strip()
+    return read_page(page)[0]
 
 
 def split_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers in order and body of an HTTP message; a block without a head is all body."""
     if not block.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     head, _, body = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
     headers = []
@@ -156,7 +216,7 @@ def _row(kind: str, source: dict, content_type: str, block: bytes, headers: dict
         "target_uri": source["target_uri"],
         "warc_date": source["warc_date"],
         "content_type": content_type,
-        "payload_digest": source["payload_digest"],
+        "payload_digest": digest(block),
         "block_digest": digest(block),
         "content_length": len(block),
         "headers": headers,
@@ -175,22 +235,22 @@ def derivatives(source: dict) -> Iterator[dict]:
     source["record_id"] = source["record_id"] or record_id("response", source["target_uri"] or "", digest(block))
     plain, stuck = unpacked(body, headers)
     page = decoded(plain, kept.get("content-type", ""))
-    text = plain_text(page).encode()
-    conversion = _row(
-        "conversion", source, "text/plain; charset=utf-8", text, joined([(f"WARC-Source-{k}", v) for k, v in own + headers])
-    )
-    title = _TITLE.search(page)
-    links = [next(x for x in m.groups() if x is not None) for m in _HREF.finditer(page)]
+    text, title, links = read_page(page)
+    text = text.encode("utf-8", "replace")
+    digests = [("WARC-Source-WARC-Payload-Digest", source["payload_digest"]), ("WARC-Source-WARC-Block-Digest", source["block_digest"] or digest(block))]
+    carried = [(f"WARC-Source-{k}", v) for k, v in own + headers]
+    conversion = _row("conversion", source, "text/plain; charset=utf-8", text, joined(digests + carried))
     fields = [("status", status)] if status else []
     fields += [(f"warc-{k}", v) for k, v in own] + [(f"header-{k}", v) for k, v in headers]
     fields += [("not-decoded", stuck)] if stuck else []
     fields += [
-        ("title", _BLANKS.sub(" ", html.unescape(title[1])).strip() if title else ""),
+        ("title", title),
         ("conversion", conversion["record_id"]),
+        ("source-payload-digest", source["payload_digest"]),
         ("source-block-digest", source["block_digest"] or digest(block)),
         ("source-length", str(len(block))),
         ("text-length", str(len(text))),
-        *(("outlink", html.unescape(link)) for link in links),
+        *(("outlink", link) for link in links),
     ]
     lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)
     yield _row("metadata", source, "application/warc-fields", lines.encode(), {"WARC-Concurrent-To": conversion["record_id"]})
@@ -263,29 +323,65 @@ def serialise(row: dict) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
+def _chunks(content: bytes) -> Iterator[bytes]:
+    """The bytes of a WARC file, unpacked member by member; of a cut or damaged member what can be had."""
+    view, at = memoryview(content), 0
+    if content[:2] != b"\x1f\x8b":
+        for at in range(0, len(view), CHUNK):
+            yield bytes(view[at : at + CHUNK])
+        return
+    while at < len(view):
+        tool = zlib.decompressobj(31)
+        while not tool.eof:
+            piece = tool.unconsumed_tail or view[at : at + CHUNK]
+            at += 0 if tool.unconsumed_tail else len(piece)
+            if not len(piece):
+                return
+            try:
+                out = tool.decompress(piece, CHUNK)
+            except zlib.error:
+                return
+            if out:
+                yield out
+        at -= len(tool.unused_data)
+        while at < len(view) and view[at] == 0:  # padding between members
+            at += 1
+
+
 def parse(content: bytes) -> Iterator[dict]:
-    """The records of one WARC file, gzipped or not; a cut-off last record is left out."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while (start := content.find(b"WARC/", at)) >= 0:
-        end = content.find(b"\r\n\r\n", start)
-        if end < 0:
+    """The records of one WARC file, gzipped or not, one at a time; a cut-off last record is left out."""
+    chunks, held = _chunks(content), bytearray()
+
+    def found(mark: bytes, start: int = 0) -> int:
+        """Where a mark stands, reading on until it is there; -1 if it never is."""
+        while (place := held.find(mark, start)) < 0:
+            start = max(start, len(held) - len(mark) + 1)
+            if not (more := next(chunks, b"")):
+                return -1
+            held.extend(more)
+        return place
+
+    while (start := found(b"WARC/")) >= 0:
+        del held[:start]
+        if (end := found(b"\r\n\r\n")) < 0:
             return
         fields: dict[str, list[tuple[str, str]]] = {}
-        for line in content[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
                 fields.setdefault(name.strip().lower(), []).append((name.strip(), value.strip()))
 
         def take(name: str) -> str | None:
-            return fields.pop(name, [(None, None)])[-1][1]
-
-        length = int(take("content-length") or 0)
-        block = content[end + 4 : end + 4 + length]
-        if len(block) < length:
-            return
-        at = end + 4 + length
+            return fields.pop(name, [(None, None)])[-1][1]  # noqa: B023
+
+        stated = take("content-length") or "0"
+        length = int(stated) if stated.isascii() and stated.isdigit() else 0
+        while len(held) < end + 4 + length:
+            if not (more := next(chunks, b"")):
+                return
+            held.extend(more)
+        block = bytes(held[end + 4 : end + 4 + length])
+        del held[: end + 4 + length]
         row = {
             "warc_type": take("warc-type"),
             "record_id": take("warc-record-id"),
@@ -300,19 +396,23 @@ def parse(content: bytes) -> Iterator[dict]:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Record rows of WARC files, read as spark.read.format("binaryFile") gives them; one file a time."""
+    """Record rows of WARC files, read as spark.read.format("binaryFile") gives them.
+
+    A task holds one packed file, and of its records those of one batch.
+    """
     common.prepare(files.sparkSession)
-    most = common.BATCH_ROWS
+    rows_most, bytes_most = common.BATCH_ROWS, common.BATCH_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for row in parse(content.as_py() or b""):
                     rows.append(row | {"headers": list(row["headers"].items())})
-                    if len(rows) == most:
+                    held += row["content_length"]
+                    if len(rows) == rows_most or held >= bytes_most:
                         yield pa.RecordBatch.from_pylist(rows, _FIELDS)
-                        rows = []
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, _FIELDS)
 
     return files.select("content").mapInArrow(run, SCHEMA)

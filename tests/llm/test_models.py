@@ -86,6 +86,36 @@ def test_index_equals_brute_cosine():
         assert got.tolist() == order and np.allclose(found, np.minimum(sims[order], 1))
 
 
+def test_postings_of_skipped_blocks_are_not_read():
+    rng = random.Random(4)
+    groups = [rng.sample(range(1, 401), 30) for _ in range(20)]
+    rows = []
+    for i in range(1500):
+        group = groups[i % 20]
+        rows.append((i, i % 2, tuple(sorted((t, rng.randrange(1, 3)) for t in rng.sample(group, 12)))))
+    index = toxicity.Model([f"t{i}" for i in range(400)], rows).index
+    index.read = index.skipped = 0
+    for key in list(index.keys)[::50]:
+        index.nearest(key, 15)
+    asked = sum(int((index.weights[index.edges[t * index.blocks] : index.edges[(t + 1) * index.blocks]] > 0).sum()) for key in list(index.keys)[::50] for t, _ in key)
+    assert index.read + index.skipped == asked and index.skipped > asked / 4
+
+
+def test_nearly_every_text_has_neighbours(spark, sf_dir):
+    docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).join(docs.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id") == F.col("i"))
+    bare, every = got.filter("trim(text) <> ''").agg(F.count_if(F.size("neighbours") == 0), F.count("*")).first()
+    assert bare < 0.01 * every
+
+
+def test_an_id_that_repeats_is_learnt_from_once(spark, frame, data):
+    docs, labels, rows, _ = data
+    many = frame(rows + [rows[0]] * 300 + [(rows[0][0], "other text", "de")] * 5)
+    assert len(toxicity.fit(many, labels).index.ids) <= len(rows)
+    assert sum(toxicity.fit(many, labels).index.count) <= len(rows)
+    assert language.fit(many).langs == ["de", "en"] and quality.fit(many, labels).fitted
+
+
 def test_isotonic():
     x, y = np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.2, 1.0])
     knots, values = toxicity.isotonic(x, y, np.ones(5))
@@ -118,6 +148,25 @@ def test_repeats_are_seen_at_every_distance_and_length(monkeypatch):
     assert (quality.repeats(body) == whole).all() and whole.sum() == 2993
 
 
+def test_long_texts_are_pooled_piece_by_piece(spark, frame, data, monkeypatch):
+    docs, labels, rows, _ = data
+    model, table = quality.fit(docs, labels), quality._byte_classes()
+    text = (" ".join(body for _, body, _ in rows)).encode()
+    whole = model.score(*quality.encode([text], table))
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert np.allclose(model.score_long(text, table), [whole[0][0], whole[1][0]], atol=1e-5)
+    rows_, sizes = quality.encode([text, b"short"], table)
+    assert sizes.tolist() == [quality.passages(text), 1] and len(rows_) == sizes.sum()
+
+
+def test_training_rows_are_taken_whole_up_to_a_number_of_passages(frame, spark):
+    rows = [(i, "word " * (1000 if i % 2 else 10), "en") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0, None, None) for i in range(40)], LABELS)
+    short = quality.fit(frame(rows), labels, most=9)  # no long row fits
+    assert not short.fitted and short.share == 0.0
+    assert quality.fit(frame(rows), labels).fitted
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(1)
     rows = rng.random((9, quality.FEATURES)).astype(np.float32)

@@ -78,6 +78,50 @@ def test_every_token_is_packed_once(spark, frame, counter):
     assert [f for f, _ in long] == list(range(0, long[-1][0] + 1, 256))
 
 
+def slow_pack(lengths, sizes, opening):
+    """Decreasing best fit by plain search: bins as (size opened, contents), the last touched at the end."""
+    bins, left = [], sorted(lengths, reverse=True)
+    for at, length in enumerate(left):
+        rooms = [size - sum(held) - length for size, held in bins]
+        if least := [room for room in rooms if room >= 0]:
+            chosen = max(i for i, room in enumerate(rooms) if room == min(least))
+            size, held = bins.pop(chosen)
+            bins.append((size, [*held, length]))
+            continue
+
+        def foreseen(room, at=at):
+            filled, rest = 0, list(left[at + 1 :])
+            for _ in range(op.FORESEEN):
+                fit = [x for x in rest if x <= room - filled]
+                if not fit:
+                    break
+                n = min(rest.count(fit[0]), (room - filled) // fit[0])
+                filled += n * fit[0]
+                rest = [x for x in rest if x != fit[0]] + [fit[0]] * (rest.count(fit[0]) - n)
+                rest.sort(reverse=True)
+            return filled
+        size = min((s for s in sizes if s >= length), key=lambda s: ((s + opening) / (length + foreseen(s - length)), s))
+        bins.append((size, [length]))
+    return sorted((min(s for s in sizes if s >= sum(held)), sum(held)) for _, held in bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=25))
+def test_bins_equal_plain_search(lengths):
+    _, sizes, held = op.Packer((8, 16, 40)).pack(sorted(lengths, reverse=True))
+    assert sum(held) == sum(lengths)
+    want = slow_pack(lengths, (8, 16, 40), op.OPENING)
+    assert sorted(zip(sizes, held)) == want
+
+
+def test_packing_does_not_depend_on_the_files(spark, frame):
+    rng = random.Random(2)
+    rows = [(i % 90 if i % 7 else None, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randrange(60)))) for i in range(200)]
+    rows += rows[:40] + [rows[5]] * 30
+    made = [sorted(map(repr, op.pack(frame(x).repartition(n), sizes=(64, 128), shard=20).collect())) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert made[0] == made[1]
+
+
 def test_odd_inputs(odd, no_docs):
     got = op.pack(odd).collect()
     assert {r.doc_id for r in got} == {i for i, _ in ODD}

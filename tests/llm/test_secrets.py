@@ -1,7 +1,9 @@
 import hashlib
+import random
+import re
+import string
 
 import pytest
-from pyspark.sql import functions as F
 
 from keelstate.llm import secrets as op
 from tests.llm.conftest import ODD
@@ -36,11 +38,76 @@ def test_findings(frame, model):
             assert got[i].shown == secret[:4] + "..."
 
 
-def test_held_out_findings(spark, model):
-    rows = op.labelled_findings(spark, 6000).withColumn("n", F.monotonically_increasing_id())
-    judged = op.judge(rows, model).select("label", "score")
-    right = judged.agg(F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int"))).first()[0]
-    assert right > 0.97
+def other_findings(n=300):
+    """Labelled findings of rules that the training table doesn't have."""
+    rng = random.Random(17)
+    letters, words = string.ascii_letters + string.digits, "river stone garden window letter market winter silver copper bridge forest candle".split()
+    token = lambda k, of=letters: "".join(rng.choices(of, k=k))
+    out = []
+    for _ in range(n):
+        w = lambda k, sep="": sep.join(rng.choices(words, k=k))  # noqa: B023, E731
+        out += [
+            (f'{w(1)} client_secret = "{(s := token(44))}" {w(2, " ")}', s, 1),
+            (f"export DB_PASSWORD={(s := token(6) + '@' + token(7))} {w(1)}", s, 1),
+            (f"api-key: {(s := token(32, '0123456789abcdef'))}", s, 1),
+            (f"use glpat-{(s := token(20))} for {w(1)}", f"glpat-{s}", 1),
+            (f"curl -H 'x: y' bearer {(s := token(24) + '.' + token(40) + '.' + token(30))}", s, 1),
+            (f"the {(s := w(4))} was {w(2, ' ')}", s, 0),
+            (f"see docs/{w(2, '-')}/{(s := w(3, '_'))}.md", None, 0),
+            (f"{w(1)} revision {token(40, '0123456789abcdef')} of {w(1)}", None, 0),
+            (f"sha256: {token(64, '0123456789abcdef')}", None, 0),
+            (f"invoice {token(18, string.digits)} is paid", None, 0),
+            (f"class {w(2).title()}{w(2).title()}(Base): pass", None, 0),
+            (f'password = "change-your-{w(1)}-here"', None, 0),
+        ]
+    return out
+
+
+def test_findings_of_other_rules(frame, model):
+    rows = other_findings()
+    found = {}
+    for r in op.scan(frame([(i, text) for i, (text, _, _) in enumerate(rows)]), model).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end))
+    caught = [any(text[a:b] == secret for a, b in found.get(i, ())) for i, (text, secret, y) in enumerate(rows) if y]
+    clean = [i not in found for i, (_, _, y) in enumerate(rows) if not y]
+    print("secrets caught", sum(caught) / len(caught), "clean left", sum(clean) / len(clean))
+    assert sum(caught) / len(caught) > 0.9 and sum(clean) / len(clean) > 0.9
+
+
+def slow_candidates(text):
+    """Quoted candidates by a plain search."""
+    pattern = re.compile(r"""["'][^\s"']{8,}["']""")
+    return [(m.start() + 1, m.group()[1:-1]) for m in pattern.finditer(text)]
+
+
+def test_long_and_named_values_are_candidates(frame):
+    long = "a!" * 400
+    texts = [
+        (1, f'x = "{long}" y', long),
+        (2, "password = hunter2!xQ9 end", "hunter2!xQ9"),
+        (3, "token=abcd1234efgh567", "abcd1234efgh567"),
+        (4, "Authorization: Bearer aaaabbbbccccdddd.eeeeffff.gggghhhh.", "aaaabbbbccccdddd.eeeeffff.gggghhhh."),
+        (5, 'aws_secret_access_key = "wJalrXUtnFEMI/K7MDENG"', "wJalrXUtnFEMI/K7MDENG"),
+    ]
+    got = {}
+    for r in op.candidates(frame([row[:2] for row in texts])).collect():
+        got.setdefault(r.doc_id, {})[r.value] = r
+    for i, text, value in texts:
+        assert value in got[i] and text[got[i][value].start :].startswith(value)
+    assert got[5]["wJalrXUtnFEMI/K7MDENG"].before.endswith("aws_secret_access_key = ")
+
+
+def test_offsets_in_a_text_of_many_candidates(frame, monkeypatch):
+    for run in (op.SUMMED, 3):
+        monkeypatch.setattr(op, "SUMMED", run)
+        text = " ".join(f"é{i} 'value-{i:05d}'" for i in range(900))
+        got = sorted((r.start, r.value) for r in op.candidates(frame([(1, text)])).collect())
+        assert got == slow_candidates(text) and len(got) == 900
+
+
+def test_no_shuffle_and_no_window(frame, model):
+    plan = op.scan(frame([(1, "x")]), model)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
 
 
 def test_candidates_and_offsets(frame):

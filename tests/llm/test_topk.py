@@ -48,10 +48,15 @@ def test_empty_and_single(spark):
     assert op.search(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_huge_components_are_an_error(spark):
-    frame = table(spark, [(0, [1e300, 1.0]), (1, [1.0, 1.0])])
-    with pytest.raises(Exception):
-        op.search(frame, F.col("vec_id") % 100 == 0).collect()
+def test_wide_components_are_multiplied_exactly(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 0, 0, 5, 6]) for _ in range(3)]) for i in range(260)]
+    rows += [(300, [3e6, -3e6, 1.0]), (400, [1.0, 1.0, 1.0])]
+    for size in (op.BLOCK_BYTES, 100):
+        got = op.search(table(spark, rows).repartition(2), F.col("vec_id") % 100 == 0, block_bytes=size).collect()
+        assert sorted(map(tuple, got)) == brute(rows)
+    got = op.search(table(spark, [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [1.0, 1.0])]), F.col("vec_id") % 100 == 0).collect()
+    assert [(r.vec_id, r.rank) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2)]
 
 
 @settings(max_examples=60, deadline=None)
