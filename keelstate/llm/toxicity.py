@@ -34,17 +34,17 @@ from pyspark.sql import functions as F
 from keelstate.llm import common
 
 #: Labelled rows that the classifier is fitted on at most, and terms of either kind that it keeps at most.
-SAMPLE, TERMS = 20000, 2000
-#: What the IDF of a term that doesn't go with the label is multiplied by.
-COMMON = 0.05
+SAMPLE, TERMS = 20000, 4000
+#: What the IDF of a term that doesn't go with the label is multiplied by, and the share of rows that may hold it.
+COMMON, SPREAD = 0.05, 0.1
 #: A term is kept from this chi-square value, number of rows, and share of toxic rows over the overall one on.
 CHI_SQUARE, MIN_ROWS, LIFT = 20.0, 5, 2.0
 #: Of ten parts of the sample those that choose the terms; the others calibrate the votes.
 CHOOSING = 8
 #: Neighbours, examples of a block, and the score from which a document is toxic.
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 32, 0.3
-#: Blocks that a query reads before it knows which others it must; each further round reads twice as many.
-FIRST = 4
+NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.3
+#: Blocks that a query reads before it knows which others it must; each further round reads MORE times as many.
+FIRST, MORE = 8, 4
 #: Distance at which a vote's weight is halved, and the weight of the overall share in a vote.
 HALF, PRIOR = 0.1, 0.5
 #: Texts whose answers a task keeps at hand.
@@ -92,7 +92,8 @@ class Index:
             firsts = np.flatnonzero(np.diff(place, prepend=-1))
             self.most[place[firsts]] = np.maximum.reduceat(self.weights, firsts)
         self.most = self.most.reshape(len(idf), self.blocks)
-        self.most = self.most.astype(np.float32) * np.float32(1 + 1e-6)  # rounded up: it stays a bound
+        self.most = self.most.astype(np.float32) * np.float32(1 + 1e-5)  # rounded up: sums of it stay bounds
+        self.local = (self.rows % BLOCK).astype(np.int32)
         #: Postings that queries have read, and those of their terms that they haven't had to.
         self.read = self.skipped = 0
 
@@ -111,7 +112,7 @@ class Index:
         if not key or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
         terms, weights = self.weigh(key)
-        bound = weights @ self.most[terms]
+        bound = weights.astype(np.float32) @ self.most[terms]
         waiting = np.argsort(-bound, kind="stable")
         waiting = waiting[: np.searchsorted(-bound[waiting], -1e-300, "right")]
         near, sims, least, many, read = np.zeros(0, np.int64), np.zeros(0), 1e-300, FIRST, 0
@@ -124,7 +125,7 @@ class Index:
                 least = np.partition(sims, -k)[-k]
                 keep = sims >= least - 1e-11
                 near, sims = near[keep], sims[keep]
-            waiting, many = waiting[many:], 2 * many
+            waiting, many = waiting[many:], MORE * many
             waiting = waiting[bound[waiting] >= least - 1e-11]
         self.read += read
         self.skipped += int((self.edges[(terms + 1) * self.blocks] - self.edges[terms * self.blocks]).sum()) - read
@@ -134,12 +135,14 @@ class Index:
     def _score(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and exact similarities of some blocks, from the postings of these blocks alone."""
         places = (terms[:, None] * self.blocks + blocks).ravel()
-        starts = self.edges[places].astype(np.int64)
+        starts = self.edges[places]
         sizes = self.edges[places + 1] - starts
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-        local = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), sizes) + self.rows[at] % BLOCK
-        sims = np.bincount(local, self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes), minlength=len(blocks) * BLOCK)
+        held = np.flatnonzero(sizes)
+        starts, sizes = starts[held], sizes[held]
+        of = np.repeat(np.arange(len(held)), sizes)
+        at = np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of]
+        local = self.local[at] + (held % len(blocks) * BLOCK)[of]
+        sims = np.bincount(local, self.weights[at] * weights[held // len(blocks)][of], minlength=len(blocks) * BLOCK)
         return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), sims, len(at)
 
 
@@ -267,6 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         .filter(F.col("n") >= MIN_ROWS)
         .withColumn("tells", (chi >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
         .withColumn("rank", F.when(F.col("tells"), chi).otherwise(F.col("n")))
+        .filter(F.col("tells") | (F.col("n") <= SPREAD * n))
         .checkpoint()
     )
     kept = [
