@@ -37,8 +37,9 @@ from keelstate.llm import common
 SAMPLE, TERMS = 20000, 4000
 #: What the IDF of a term that doesn't go with the label is multiplied by, and the share of rows that may hold it.
 COMMON, SPREAD = 0.05, 0.1
-#: A term is kept from this chi-square value, number of rows, and share of toxic rows over the overall one on.
-CHI_SQUARE, MIN_ROWS, LIFT = 20.0, 5, 2.0
+#: A term goes with the label from this chi-square value, number of rows, and share of toxic rows over the overall
+#: one on; any other term is kept from COMMON_ROWS on.
+CHI_SQUARE, MIN_ROWS, LIFT, COMMON_ROWS = 20.0, 5, 2.0, 2
 #: Of ten parts of the sample those that choose the terms; the others calibrate the votes.
 CHOOSING = 8
 #: Neighbours, examples of a block, and the score from which a document is toxic.
@@ -267,8 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         .mapInArrow(_counts, "term string, n long, n_toxic long")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-        .filter(F.col("n") >= MIN_ROWS)
-        .withColumn("tells", (chi >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
+        .filter(F.col("n") >= COMMON_ROWS)
+        .withColumn("tells", (F.col("n") >= MIN_ROWS) & (chi >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
         .withColumn("rank", F.when(F.col("tells"), chi).otherwise(F.col("n")))
         .filter(F.col("tells") | (F.col("n") <= SPREAD * n))
         .checkpoint()

@@ -90,7 +90,7 @@ def test_postings_of_skipped_blocks_are_not_read():
     rng = random.Random(4)
     groups = [rng.sample(range(1, 401), 30) for _ in range(20)]
     rows = []
-    for i in range(1500):
+    for i in range(6000):
         group = groups[i % 20]
         rows.append((i, i % 2, tuple(sorted((t, rng.randrange(1, 3)) for t in rng.sample(group, 12)))))
     index = toxicity.Model([f"t{i}" for i in range(400)], rows).index
