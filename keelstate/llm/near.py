@@ -34,7 +34,7 @@ WIDTH, SIMILAR = 5, (4, 5)
 BANDS, VALUES, BLOCK = 32, 5, 512
 
 _RNG = np.random.default_rng(SEED)
-_ODD, _PLUS = _RNG.integers(0, 1 << 63, (2, BANDS * VALUES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD, _PLUS = _RNG.integers(0, 1 << 31, (2, BANDS * VALUES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -49,12 +49,13 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 def bands(hashes: np.ndarray) -> np.ndarray:
     """One 64-bit number for each band of MinHash values."""
-    least = np.full(BANDS * VALUES, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1 << 10):
-        part = hashes[None, at : at + (1 << 10)] * _ODD[:, None]
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * VALUES, np.iinfo(np.uint32).max)
+    for at in range(0, len(high), 1 << 9):
+        part = high[None, at : at + (1 << 9)] * _ODD[:, None]
         part ^= _PLUS[:, None]
         np.minimum(least, part.min(1), out=least)
-    rows = least.astype("<u8").reshape(BANDS, VALUES)
+    rows = least.astype("<u4").reshape(BANDS, VALUES)
     return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64)
 
 
@@ -71,11 +72,16 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(text) for text in batch.column(2).to_pylist()]
         flat = _signed(np.concatenate([bands(s) for s in sets] or [np.zeros(0, np.uint64)]))
         ends = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
-        columns = [_signed([_node(s) for s in sets]), _signed([majority(s) for s in sets]), pa.ListArray.from_arrays(ends, flat)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "fp", "simhash", "bands"])
+        columns = [
+            _signed([_node(s) for s in sets]),
+            pa.array([len(s) for s in sets], pa.int32()),
+            _signed([majority(s) for s in sets]),
+            pa.ListArray.from_arrays(ends, flat),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "fp", "n", "simhash", "bands"])
 
 
-PRINTS = "doc_id long, text_key binary, fp long, simhash long, bands array<long>"
+PRINTS = "doc_id long, text_key binary, fp long, n int, simhash long, bands array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +98,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for one, two in zip(batch.column(2), batch.column(3)):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-            shared = len(np.intersect1d(x, y, assume_unique=True)) if bottom * min(len(x), len(y)) >= top * max(len(x), len(y)) else 0
+            shared = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(bottom * shared >= top * (len(x) + len(y) - shared))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -132,49 +138,71 @@ def _block_links(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(keys[ends], pa.int64()), "b": pa.array(keys[others], pa.int64())})
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node of (fp, simhash, bands) with the least node of each of its bands and of its tree component."""
-    prints = nodes.select(F.col("simhash").alias("own")).distinct().checkpoint()
-    joined = components(simhash.links(prints.select(F.col("own").alias("fp"))))
-    near = nodes.join(joined, F.col("simhash") == F.col("node"), "left").select("fp", F.array(F.coalesce("root", "simhash")).alias("groups"), F.lit(0).alias("kind"))
-    dealt = nodes.select("fp", F.col("bands").alias("groups"), F.lit(1).alias("kind")).unionByName(near).select("fp", "kind", F.explode("groups").alias("group"))
-    least = dealt.groupBy(F.col("kind").alias("k"), F.col("group").alias("g")).agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    tied = dealt.join(least, (F.col("group") == F.col("g")) & (F.col("kind") == F.col("k"))).filter("fp <> b")
-    return tied.select(F.col("fp").alias("a"), "b").distinct()
-
-
-def links(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): confirmed links that span the components of nodes (fp, least, simhash, bands)."""
-    path = common.scratch(docs.sparkSession, "near-links")
-    tied = candidates(nodes).checkpoint()
-    joined = components(tied)
-    whole = joined.union(joined.select("root", "root").distinct()).toDF("fp", "root").distinct().checkpoint()
+def ties(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs of nodes (fp, n, simhash, bands) with their sizes (a, m, b, n): each node with the least one
+    of each of its bands and of its fingerprint, and those least ones along the links of the tree."""
+    least = [F.min("fp").alias("b"), F.min_by("n", "fp").alias("n")]
+    bands = nodes.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.lit(1).alias("kind"), F.explode("bands").alias("in"))
+    dealt = bands.unionByName(nodes.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.lit(0).alias("kind"), F.col("simhash").alias("in")))
+    groups = dealt.withColumnsRenamed({"a": "fp", "m": "n"}).groupBy(F.col("kind").alias("k"), F.col("in").alias("g")).agg(*least, F.count("*").alias("many"))
+    groups = groups.filter("many > 1").drop("many")
+    shared = dealt.join(groups, (F.col("in") == F.col("g")) & (F.col("kind") == F.col("k"))).select("a", "m", "b", "n")
+    firsts = nodes.groupBy("simhash").agg(*least).checkpoint()
+    linked = simhash.links(firsts.select(F.col("simhash").alias("fp"))).toDF("x", "y")
+    linked = linked.join(firsts.toDF("xs", "a", "m"), F.col("x") == F.col("xs")).join(firsts.toDF("ys", "b", "n"), F.col("y") == F.col("ys"))
+    return shared.unionByName(linked.select("a", "m", "b", "n")).filter("a <> b").distinct()
+
+
+def _contracted(links: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of held (node, root)."""
+    for end in "ab":
+        other = "b" if end == "a" else "a"
+        links = links.join(held, F.col(end) == F.col("node"), "left").select(F.coalesce("root", end).alias(end), other)
+    return links.filter("a <> b").select("a", "b").distinct()
+
+
+def _composed(held: DataFrame, above: DataFrame) -> DataFrame:
+    """held (node, root) after its components have been joined by above (node, root)."""
+    up = above.toDF("of", "to")
+    return held.join(up, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(above)
+
+
+def joined(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, root): the components of confirmed links of nodes (fp, least, n, simhash, bands)."""
+    spark, path = docs.sparkSession, common.scratch(docs.sparkSession, "near-links")
+    ties(nodes).write.parquet(f"{path}/ties")
+    tied = spark.read.schema("a long, m int, b long, n int").parquet(f"{path}/ties")
+    among = tied.select("a").union(tied.select("b")).distinct()
     # One document's text gives a node's set; documents without an id are looked through.
-    ids = nodes.join(whole.select(F.col("fp").alias("node")), F.col("fp") == F.col("node")).select(F.col("least").alias("id")).distinct()
+    ids = nodes.join(among, F.col("fp") == F.col("a")).select(F.col("least").alias("id")).distinct()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     wanted = read.join(ids, F.col("doc_id") == F.col("id"), "left_semi").unionByName(read.filter("doc_id is null"))
     wanted.select("text").mapInArrow(_sets, SETS).groupBy("of").agg(F.first("hashes").alias("hashes")).write.parquet(f"{path}/sets")
-    sets = docs.sparkSession.read.schema(SETS).parquet(f"{path}/sets")
+    sets = spark.read.schema(SETS).parquet(f"{path}/sets")
+    top, bottom = SIMILAR
+    likely = tied.filter(bottom * F.least("m", "n") >= top * F.greatest("m", "n")).select("a", "b")  # sets of other sizes can't be
     pairs = (
-        tied.join(sets.withColumnRenamed("hashes", "x"), F.col("a") == F.col("of")).drop("of")
+        likely.join(sets.withColumnRenamed("hashes", "x"), F.col("a") == F.col("of")).drop("of")
         .join(sets.withColumnRenamed("hashes", "y"), F.col("b") == F.col("of")).select("a", "b", "x", "y")
     )
-    pairs.mapInArrow(_confirmed, "a long, b long").write.parquet(f"{path}/tied")
-    found = docs.sparkSession.read.schema("a long, b long").parquet(f"{path}/tied")
-    # A component of candidates whose nodes those links join needs no more.
-    held = components(found)
-    pieces = whole.join(held, F.col("fp") == F.col("node"), "left").select("fp", whole["root"], F.coalesce(held["root"], "fp").alias("piece"))
-    open_ = pieces.groupBy(F.col("root").alias("of_root")).agg(F.count("*").alias("n"), F.min("piece").alias("l"), F.max("piece").alias("m"))
-    sizes = open_.filter("l <> m").select("of_root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rest = whole.join(sizes, F.col("root") == F.col("of_root")).join(sets, F.col("fp") == F.col("of"))
-    own = rest.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    held = components(pairs.mapInArrow(_confirmed, "a long, b long"))
+    # Where ties lead from one component to another, all pairs of the nodes of both are looked through.
+    open_ = components(_contracted(tied.select("a", "b"), held))
+    if open_.isEmpty():
+        return held
+    parts = open_.union(open_.select("root", "root").distinct()).toDF("piece", "whole")
+    pieces = among.join(held, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("of_piece"))
+    rest = pieces.join(parts, F.col("of_piece") == F.col("piece")).select("a", "whole").checkpoint()
+    sizes = rest.groupBy(F.col("whole").alias("of_whole")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    found = rest.join(sizes, F.col("whole") == F.col("of_whole")).join(sets, F.col("a") == F.col("of"))
+    own = found.withColumn("own", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")).cast("int"))
     crossed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = (
-        crossed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "hashes")
-        .groupBy("root", "i", "j")
+        crossed.select("whole", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("a").alias("fp"), "hashes")
+        .groupBy("whole", "i", "j")
         .applyInArrow(_block_links, "a long, b long")
     )
-    return found.unionByName(others)
+    return _composed(held, components(_contracted(others, held)))
 
 
 SETS = "of long, hashes binary"
@@ -188,9 +216,9 @@ def groups(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(text).alias("text_key"), text.cast("binary").alias("text"))
     read.mapInArrow(_prints, PRINTS).write.parquet(path)
     prints = spark.read.schema(PRINTS).parquet(path)
-    same = [F.first(c).alias(c) for c in ("simhash", "bands")]
+    same = [F.first(c).alias(c) for c in ("n", "simhash", "bands")]
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *same).checkpoint()
-    return simhash.grouped(prints.select("doc_id", "text_key", "fp"), components(links(docs, nodes)))
+    return simhash.grouped(prints.select("doc_id", "text_key", "fp"), joined(docs, nodes))
 
 
 def clusters(docs: DataFrame) -> DataFrame:

@@ -60,9 +60,9 @@ def test_blocks_keep_every_component(spark, frame):
     sets = {i: op.shingles(text.encode()) for i, text in docs}
     made = {op._node(s): (i, s) for i, s in reversed(sets.items())}
     signed = lambda x: int(np.uint64(x).view(np.int64))
-    table = [(signed(k), i, signed(op.majority(s)), op.bands(s).view(np.int64).tolist()) for k, (i, s) in made.items()]
-    nodes = spark.createDataFrame(table, "fp long, least long, simhash long, bands array<long>")
-    whole, cut = ({(r.node, r.root) for r in op.components(op.links(rows, nodes, n)).collect()} for n in (512, 2))
+    table = [(signed(k), i, len(s), signed(op.majority(s)), op.bands(s).view(np.int64).tolist()) for k, (i, s) in made.items()]
+    nodes = spark.createDataFrame(table, "fp long, least long, n int, simhash long, bands array<long>")
+    whole, cut = ({(r.node, r.root) for r in op.joined(rows, nodes, n).collect()} for n in (512, 2))
     assert whole == cut and whole
 
 
