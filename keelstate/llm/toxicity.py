@@ -292,8 +292,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
                 ["doc_id", "label", "terms", "counts"],
             )
 
-    found = rows.mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().to_pylist()
-    examples = sorted((r["doc_id"], r["label"], tuple(zip(r["terms"], r["counts"]))) for r in found)
+    found = rows.mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<int>").toArrow().combine_chunks()
+    ids, marks, terms_of, counts_of = (found.column(i).combine_chunks() for i in range(4))
+    ends = np.cumsum(terms_of.value_lengths().to_numpy()) if len(found) else []
+    flat, many = terms_of.flatten().to_numpy(), counts_of.flatten().to_numpy()
+    parts = zip(np.split(flat, ends[:-1]), np.split(many, ends[:-1]))
+    examples = sorted((i, y, tuple(zip(t.tolist(), n.tolist()))) for i, y, (t, n) in zip(ids.to_pylist(), marks.to_pylist(), parts))
     chosen_by = {row.doc_id for row in choosing.select("doc_id").collect()}
     return Model([*kept[0], *kept[1]], examples, {i for i, _, _ in examples} - chosen_by, len(kept[0]))
 
