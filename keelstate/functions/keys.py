@@ -40,6 +40,11 @@ def _failed(reason: str) -> Column:
     return F.raise_error(F.lit(f"WAL corrupted at offset 0: {reason}"))
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value evaluated, and planned, once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _sized(data: Column, n: int, then: Column) -> Column:
     return F.when(data.isNull(), F.lit(None)).when(F.octet_length(data) == n, then).otherwise(_failed(f"expected {n} bytes"))
 
@@ -194,17 +199,18 @@ def pair(a: Codec, b: Codec) -> Codec:
         return F.concat(length.encode(F.octet_length(first)), first, b.encode(key["_2"]))
 
     def decode(data: Column) -> Column:
-        size = F.octet_length(data)
-        n = length.decode(F.when(size >= 8, F.substring(data, 1, 8)).otherwise(F.lit(bytes(8))))
-        whole = n.cast("int")
-        first = data.substr(F.lit(9), whole)
-        rest = data.substr(F.lit(9) + whole, size)
-        found = F.struct(a.decode(first).alias("_1"), b.decode(rest).alias("_2"))
-        return (
-            F.when(data.isNull(), F.lit(None))
-            .when(size < 8, _failed("pair key too short"))
-            .when(size - 8 < n, _failed("pair key truncated"))
-            .otherwise(found)
-        )
+        def parted(data: Column) -> Column:
+            size = F.octet_length(data)
+            head = length.decode(F.when(size >= 8, F.substring(data, 1, 8)).otherwise(F.lit(bytes(8))))
+
+            def found(n: Column) -> Column:
+                whole = n.cast("int")
+                first = _bound(data.substr(F.lit(9), whole), a.decode)
+                rest = _bound(data.substr(F.lit(9) + whole, size), b.decode)
+                return F.when(size - 8 < n, _failed("pair key truncated")).otherwise(F.struct(first.alias("_1"), rest.alias("_2")))
+
+            return F.when(data.isNull(), F.lit(None)).when(size < 8, _failed("pair key too short")).otherwise(_bound(head, found))
+
+        return _bound(data, parted)
 
     return Codec(f"({a.name}, {b.name})", kind, to_bytes, from_bytes, encode, decode)
