@@ -148,6 +148,38 @@ def test_repeats_are_seen_at_every_distance_and_length(monkeypatch):
     assert (quality.repeats(body) == whole).all() and whole.sum() == 2993
 
 
+def slow_quality(model, text):
+    """The score of one text, passage by passage in plain loops."""
+    table, body, p = quality._byte_classes(), text or b"", model.p
+    seen, again = set(), []
+    for i in range(len(body) - 7):
+        again.append(body[i : i + 8] in seen)
+        seen.add(body[i : i + 8])
+    codes, logits = [], []
+    for begin in range(0, max(1, len(body)), quality.PASSAGE):
+        x = np.zeros(quality.FEATURES)
+        pairs = [(table[body[i]], table[body[i + 1]]) for i in range(begin, min(begin + quality.PASSAGE, len(body) - 1))]
+        for one, two in pairs:
+            x[one * quality.CLASSES + two] += 1 / len(pairs)
+        x = np.sqrt(x)
+        own = again[begin : begin + quality.PASSAGE]
+        x[-2], x[-1] = sum(own) / max(1, len(own)), float(len(body) > 0)
+        code = np.maximum((x - model.mean) * model.scale @ p["w"] + p["b"], 0)
+        codes.append(code)
+        logits.append(float((np.tanh(code @ p["v"]) / (1 + np.exp(-(code @ p["u"])))) @ p["a"][:, 0]))
+    weights = np.exp(np.array(logits) - max(logits))
+    pooled = (weights / weights.sum()) @ np.array(codes)
+    return 1 / (1 + np.exp(-float(pooled @ p["c"][:, 0] + p["d"][0])))
+
+
+def test_quality_equals_plain_loops(spark, sf_dir):
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.select("doc_id", F.col("text").cast("binary").alias("text")).limit(60).collect():
+        assert got[r.doc_id] == pytest.approx(slow_quality(model, None if r.text is None else bytes(r.text)), abs=1e-3)
+
+
 def test_long_texts_are_pooled_piece_by_piece(spark, frame, data, monkeypatch):
     docs, labels, rows, _ = data
     model, table = quality.fit(docs, labels), quality._byte_classes()

@@ -75,9 +75,25 @@ def test_findings_of_other_rules(frame, model):
 
 
 def slow_candidates(text):
-    """Quoted candidates by a plain search."""
-    pattern = re.compile(r"""["'][^\s"']{8,}["']""")
-    return [(m.start() + 1, m.group()[1:-1]) for m in pattern.finditer(text)]
+    """(start, value) of every candidate by a search of the whole text."""
+    out = []
+    for m in re.finditer(op.CANDIDATE, (text or "").replace("\x01", " ").replace("\x02", " ")):
+        group = 2 if m.group(2) is not None else 3
+        quoted = m.group(group)[0] in "\"'"
+        out.append((m.start(group) + quoted, m.group(group)[1:-1] if quoted else m.group(group)))
+    return out
+
+
+def test_candidates_equal_a_slow_search(spark, frame, sf_dir):
+    rng = random.Random(6)
+    parts = ["password", "token", " = ", "=", ": ", '"', "'", "Bearer ", "abcd1234", "efgh!5678", ".", "/", "_", " ", "\n", "é", "key", "A" * 9, "x" * 16, ","]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(400)] + [text for text, _, _ in other_findings(20)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    got = {}
+    for r in op.candidates(frame(list(enumerate(texts)))).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.value))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == slow_candidates(text), text
 
 
 def test_long_and_named_values_are_candidates(frame):
