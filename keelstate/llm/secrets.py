@@ -215,7 +215,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
             F.lit(float(label)).alias("label"),
         )
         made = part if made is None else made.unionAll(part)
-    common.shared_dir(spark)
+    common.prepare(spark)
     return made.coalesce(2).checkpoint()
 
 
