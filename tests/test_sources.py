@@ -116,3 +116,17 @@ def test_a_store_on_a_hadoop_file_system(spark, tmp_path, monkeypatch):
     store.write(lambda tx: tx.items.delete("a"))
     again = Store.open(spark, schema, str(tmp_path / "s"))
     assert {r.k: r.v for r in again.read()["items"].collect()} == {"b": "2"}
+
+
+def test_a_machine_local_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from keelstate.errors import IoError
+    from keelstate.sources.files import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(IoError, match="spark.checkpoint.dir"):
+        shared_folder(unset)
+    given = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://x/shared/"), sparkContext=context)
+    assert shared_folder(given) == "hdfs://x/shared"
