@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from typing import Any, TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -32,6 +32,8 @@ R = TypeVar("R")
 HELD_ROWS, LAYERS = 100_000, 32
 #: Bytes up to which a table, by Spark's estimate, is written by the driver if it has at most HELD_ROWS rows.
 HELD_BYTES = 64 << 20
+#: What is wrong with the keys of a table.
+_NULL, _TWICE = "a key is null", "keys of a table repeat; name a column to order them by"
 
 
 @dataclass(frozen=True)
@@ -306,22 +308,24 @@ class Collection:
                 found = bulk.rows.groupBy(*spec.keys).agg(F.count("*").alias("n"))
                 self._check(*found.agg(F.coalesce(F.sum(null.cast("int")), F.lit(0)), F.coalesce(F.max("n"), F.lit(1)) - 1).first())
         elif keyed:
-            # Rows are dealt and sorted by key once: repeats are counted there, and the files suit point reads.
+            # Rows are dealt and sorted by key once: bad keys end that job, and the files suit point reads.
             place = F.row_number().over(Window.partitionBy(*spec.keys).orderBy(*spec.keys))
-            seen = Observation()
-            found = (F.coalesce(F.sum(null.cast("int")), F.lit(0)).alias("nulls"), F.coalesce(F.max("__place"), F.lit(1)).alias("most"))
-            bulk.rows = rows.repartition(*(F.col(k) for k in spec.keys)).withColumn("__place", place).observe(seen, *found).select(*rows.columns)
-            bulk = self.tx.log.stage(self.tx.seq, bulk)
-            self._check(seen.get["nulls"], seen.get["most"] - 1)
+            fine = F.when(null, F.raise_error(F.lit(_NULL))).when(F.col("__place") > 1, F.raise_error(F.lit(_TWICE))).otherwise(F.lit(True))
+            bulk.rows = rows.repartition(*(F.col(k) for k in spec.keys)).withColumn("__place", place).filter(fine).select(*rows.columns)
+            try:
+                bulk = self.tx.log.stage(self.tx.seq, bulk)
+            except Exception as error:
+                self._check(_NULL in str(error), _TWICE in str(error))
+                raise
         else:
             bulk = self.tx.log.stage(self.tx.seq, bulk)
         return bulk
 
     def _check(self, nulls: int, repeats: int) -> None:
         if nulls:
-            raise Invalid(self.spec.name, "a key is null")
+            raise Invalid(self.spec.name, _NULL)
         if repeats:
-            raise Invalid(self.spec.name, "keys of a table repeat; name a column to order them by")
+            raise Invalid(self.spec.name, _TWICE)
 
     def _apply(self, bulk: Bulk, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         below = self.df()
