@@ -224,7 +224,10 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Pipeline
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=32, seed=7, minInstancesPerNode=2)
     rows = assembler.transform(with_features(findings)).select("features", "label")
-    return PipelineModel([assembler, forest.fit(rows)])
+    model = forest.fit(rows)
+    # The summary of the training refers to the session, which can't travel to the executors with the trees.
+    model._java_obj.setSummary(findings.sparkSession._jvm.scala.Option.empty())
+    return PipelineModel([assembler, model])
 
 
 def judge(found: DataFrame, model: PipelineModel) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 import string
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from keelstate.llm import secrets as op
 from tests.llm.conftest import ODD
@@ -121,6 +123,14 @@ def test_offsets_in_a_text_of_many_candidates(frame, monkeypatch):
         assert got == slow_candidates(text) and len(got) == 900
 
 
+def test_a_session_that_has_observed_something_can_scan(spark, frame):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 3
+    model = op.fit(op.labelled_findings(spark, 400))
+    assert op.scan(frame([(1, f'token = "{HEX}"')]), model).count() <= 1
+
+
 def test_no_shuffle_and_no_window(frame, model):
     plan = op.scan(frame([(1, "x")]), model)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
