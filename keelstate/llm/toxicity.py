@@ -297,7 +297,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     ends = np.cumsum(terms_of.value_lengths().to_numpy()) if len(found) else []
     flat, many = terms_of.flatten().to_numpy(), counts_of.flatten().to_numpy()
     parts = zip(np.split(flat, ends[:-1]), np.split(many, ends[:-1]))
-    examples = sorted((i, y, tuple(zip(t.tolist(), n.tolist()))) for i, y, (t, n) in zip(ids.to_pylist(), marks.to_pylist(), parts))
+    known: dict[tuple, tuple] = {}  # equal pairs are held once
+    examples = sorted(
+        (i, y, tuple(known.setdefault(pair, pair) for pair in zip(t.tolist(), n.tolist())))
+        for i, y, (t, n) in zip(ids.to_pylist(), marks.to_pylist(), parts)
+    )
+    del found, terms_of, counts_of, flat, many, parts, known
     chosen_by = {row.doc_id for row in choosing.select("doc_id").collect()}
     return Model([*kept[0], *kept[1]], examples, {i for i, _, _ in examples} - chosen_by, len(kept[0]))
 
