@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,9 @@ cloudpickle.register_pickle_by_value(sys.modules[keelstate.__name__])
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
+#: Whether the shuffle files of frames that are made now go when their run ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The fold that no model may learn from: crc32(doc_id as text) mod FOLDS == HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 
@@ -39,6 +44,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of frames that are made and run inside go with the end of their run.
+
+    Otherwise they stay until the driver happens to collect garbage, however many steps that is away.
+    """
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame's checkpoint; no shuffle files stay."""
+    with cleaned(frame.sparkSession):
+        return frame.select("*").checkpoint()
+
+
+def store(frame: DataFrame, path: str) -> None:
+    """Write the frame as Parquet; no shuffle files stay."""
+    with cleaned(frame.sparkSession):
+        frame.select("*").write.parquet(path)
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have."""
     while name in frame.columns:

@@ -2,7 +2,7 @@
 
 Every step is a minimum per node and a join back on the node. The minimum combines before the
 shuffle and the join's hot keys can be split at run time, so no node's neighbours are ever gathered
-in one place. Each round's links are cut from their lineage by checkpoint().
+in one place. Each round's links are cut from their lineage by a checkpoint.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelstate.llm import common
+
 
 def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    with common.cleaned(links.sparkSession):
+        row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
@@ -39,15 +42,12 @@ def components(links: DataFrame) -> DataFrame:
     links has columns a and b of one orderable type; order, repeats and loops don't matter. An empty
     table gives an empty one.
     """
-    links = (
-        links.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .checkpoint()
+    links = common.settled(
+        links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = _state(links)
     while before[0]:
-        links = _small_star(_large_star(links)).checkpoint()
+        links = common.settled(_small_star(_large_star(links)))
         after = _state(links)
         if after == before:
             break

@@ -147,7 +147,7 @@ def ties(nodes: DataFrame) -> DataFrame:
     groups = dealt.withColumnsRenamed({"a": "fp", "m": "n"}).groupBy(F.col("kind").alias("k"), F.col("in").alias("g")).agg(*least, F.count("*").alias("many"))
     groups = groups.filter("many > 1").drop("many")
     shared = dealt.join(groups, (F.col("in") == F.col("g")) & (F.col("kind") == F.col("k"))).select("a", "m", "b", "n")
-    firsts = nodes.groupBy("simhash").agg(*least).checkpoint()
+    firsts = common.settled(nodes.groupBy("simhash").agg(*least))
     linked = simhash.links(firsts.select(F.col("simhash").alias("fp"))).toDF("x", "y")
     linked = linked.join(firsts.toDF("xs", "a", "m"), F.col("x") == F.col("xs")).join(firsts.toDF("ys", "b", "n"), F.col("y") == F.col("ys"))
     return shared.unionByName(linked.select("a", "m", "b", "n")).filter("a <> b").distinct()
@@ -170,14 +170,14 @@ def _composed(held: DataFrame, above: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, root): the components of confirmed links of nodes (fp, least, n, simhash, bands)."""
     spark, path = docs.sparkSession, common.scratch(docs.sparkSession, "near-links")
-    ties(nodes).write.parquet(f"{path}/ties")
+    common.store(ties(nodes), f"{path}/ties")
     tied = spark.read.schema("a long, m int, b long, n int").parquet(f"{path}/ties")
     among = tied.select("a").union(tied.select("b")).distinct()
     # One document's text gives a node's set; documents without an id are looked through.
     ids = nodes.join(among, F.col("fp") == F.col("a")).select(F.col("least").alias("id")).distinct()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     wanted = read.join(ids, F.col("doc_id") == F.col("id"), "left_semi").unionByName(read.filter("doc_id is null"))
-    wanted.select("text").mapInArrow(_sets, SETS).groupBy("of").agg(F.first("hashes").alias("hashes")).write.parquet(f"{path}/sets")
+    common.store(wanted.select("text").mapInArrow(_sets, SETS).groupBy("of").agg(F.first("hashes").alias("hashes")), f"{path}/sets")
     sets = spark.read.schema(SETS).parquet(f"{path}/sets")
     top, bottom = SIMILAR
     likely = tied.filter(bottom * F.least("m", "n") >= top * F.greatest("m", "n")).select("a", "b")  # sets of other sizes can't be
@@ -192,7 +192,7 @@ def joined(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         return held
     parts = open_.union(open_.select("root", "root").distinct()).toDF("piece", "whole")
     pieces = among.join(held, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("of_piece"))
-    rest = pieces.join(parts, F.col("of_piece") == F.col("piece")).select("a", "whole").checkpoint()
+    rest = common.settled(pieces.join(parts, F.col("of_piece") == F.col("piece")).select("a", "whole"))
     sizes = rest.groupBy(F.col("whole").alias("of_whole")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     found = rest.join(sizes, F.col("whole") == F.col("of_whole")).join(sets, F.col("a") == F.col("of"))
     own = found.withColumn("own", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")).cast("int"))
@@ -214,10 +214,10 @@ def groups(docs: DataFrame) -> DataFrame:
     path = common.scratch(spark, "near")
     text = F.col("text")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(text).alias("text_key"), text.cast("binary").alias("text"))
-    read.mapInArrow(_prints, PRINTS).write.parquet(path)
+    common.store(read.mapInArrow(_prints, PRINTS), path)
     prints = spark.read.schema(PRINTS).parquet(path)
     same = [F.first(c).alias(c) for c in ("n", "simhash", "bands")]
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *same).checkpoint()
+    nodes = common.settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *same))
     return simhash.grouped(prints.select("doc_id", "text_key", "fp"), joined(docs, nodes))
 
 

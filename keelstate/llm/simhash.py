@@ -225,8 +225,9 @@ def _leaf_links(rows: pa.Table) -> pa.Table:
 def links(points: DataFrame, leaf: int = LEAF, most: int = LEAF_MOST, sample: int = TREE_SAMPLE) -> DataFrame:
     """(a, b): links that span the components of the distinct fingerprints in column fp."""
     points = points.select("fp")
-    total = points.count()
-    drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()
+    with common.cleaned(points.sparkSession):
+        total = points.count()
+        drawn = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()
     seen = np.unique(drawn.column("fp").to_numpy().view(np.uint64))
     np.random.default_rng(SEED).shuffle(seen)
     depth = min(max(0, int(np.ceil(np.log2(max(1, total) / leaf)))), int(np.log2(max(1, len(seen)))))
@@ -240,7 +241,8 @@ def links(points: DataFrame, leaf: int = LEAF, most: int = LEAF_MOST, sample: in
 
     dealt = points.mapInArrow(deal, "leaf long, fp long")
     # There are at most as many leaves as the sample has points.
-    large = [row.leaf for row in dealt.groupBy("leaf").count().filter(F.col("count") > most).collect()]
+    with common.cleaned(points.sparkSession):
+        large = [row.leaf for row in dealt.groupBy("leaf").count().filter(F.col("count") > most).collect()]
     small = dealt.filter(~F.col("leaf").isin(large)) if large else dealt
     found = small.groupBy("leaf").applyInArrow(_leaf_links, "a long, b long")
     return found.unionByName(_shared(dealt.filter(F.col("leaf").isin(large)).select("fp").distinct())) if large else found
@@ -268,9 +270,9 @@ def grouped(prints: DataFrame, joined: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, keyed: bool) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     path = common.scratch(spark, "fingerprints")
-    fingerprints(docs, keyed).write.parquet(path)
+    common.store(fingerprints(docs, keyed), path)
     prints = spark.read.schema(PRINTS).parquet(path)
-    return grouped(prints, components(links(prints.select("fp").distinct().checkpoint())))
+    return grouped(prints, components(links(common.settled(prints.select("fp").distinct()))))
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -288,7 +290,7 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     path = common.scratch(spark, "groups")
     found = _grouped(docs, True) if found is None else found
-    found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")).write.parquet(path)
+    common.store(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), path)
     groups = spark.read.schema("root long, doc_id long, text_key binary, n long").parquet(path)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = groups.groupBy(F.col("root").alias("of")).agg(F.min(first).alias("best"), F.count("*").alias("many")).filter("many > 1")

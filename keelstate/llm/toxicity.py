@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     labelled = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(marked), F.col("doc_id") == F.col("__id")  # at most `sample` rows
     )
-    common.one_each(labelled, "label").write.parquet(path)
+    common.store(common.one_each(labelled, "label"), path)
     rows = spark.read.schema("doc_id long, text string, label int").parquet(path)
     choosing = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) < CHOOSING)
     n, n_toxic = choosing.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     a, b = F.col("n_toxic").cast("double"), (F.col("n") - F.col("n_toxic")).cast("double")
     c, d = n_toxic - a, (n - n_toxic) - b
     chi = n * F.pow(a * d - b * c, F.lit(2)) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
-    counted = (
+    counted = common.settled(
         choosing.select("text", "label")
         .mapInArrow(_counts, "term string, n long, n_toxic long")
         .groupBy("term")
@@ -272,7 +272,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
         .withColumn("tells", (F.col("n") >= MIN_ROWS) & (chi >= CHI_SQUARE) & (F.col("n_toxic") >= least * F.col("n")))
         .withColumn("rank", F.when(F.col("tells"), chi).otherwise(F.col("n")))
         .filter(F.col("tells") | (F.col("n") <= SPREAD * n))
-        .checkpoint()
     )
     kept = [
         [row.term for row in counted.filter(which).orderBy(F.col("rank").desc(), "term").limit(terms).collect()] for which in ("tells", "not tells")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -69,3 +70,16 @@ def test_blocks_keep_every_component(spark, frame):
 def test_odd_inputs(odd, no_docs):
     assert sorted((tuple(r) for r in op.clusters(odd).collect()), key=repr) == slow_components(ODD)
     assert op.clusters(no_docs).count() == 0
+
+
+def test_no_shuffle_files_of_finished_steps_stay(spark, frame):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    held = lambda: {name for name in str(files().mkString(" ")).split() if "/shuffle_" in name}
+    before = held()
+    groups = op.groups(frame(corpus()))
+    until = time.time() + 10
+    while held() - before and time.time() < until:  # executors delete them soon after
+        time.sleep(0.1)
+    assert not held() - before
+    assert groups.count() == len(corpus())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
