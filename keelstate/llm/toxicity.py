@@ -94,9 +94,8 @@ class Index:
             self.most[place[firsts]] = np.maximum.reduceat(self.weights, firsts)
         self.most = self.most.reshape(len(idf), self.blocks)
         self.most = self.most.astype(np.float32) * np.float32(1 + 1e-5)  # rounded up: sums of it stay bounds
-        self.local = (self.rows % BLOCK).astype(np.int32)
-        #: Postings that queries have read, and those of their terms that they haven't had to.
-        self.read = self.skipped = 0
+        #: Postings that queries have read, those of their terms that they haven't had to, and runs that the former lay in.
+        self.read = self.skipped = self.runs = 0
 
     def __getstate__(self) -> dict:
         """What tasks need: the vectors themselves stay with the driver."""
@@ -135,16 +134,19 @@ class Index:
 
     def _score(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and exact similarities of some blocks, from the postings of these blocks alone."""
-        places = (terms[:, None] * self.blocks + blocks).ravel()
-        starts = self.edges[places]
-        sizes = self.edges[places + 1] - starts
-        held = np.flatnonzero(sizes)
-        starts, sizes = starts[held], sizes[held]
-        of = np.repeat(np.arange(len(held)), sizes)
-        at = np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of]
-        local = self.local[at] + (held % len(blocks) * BLOCK)[of]
-        sims = np.bincount(local, self.weights[at] * weights[held // len(blocks)][of], minlength=len(blocks) * BLOCK)
-        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), sims, len(at)
+        blocks = np.sort(blocks)
+        cuts = np.flatnonzero(np.diff(blocks) > 1) + 1
+        firsts, lasts = blocks[np.concatenate([[0], cuts])], blocks[np.concatenate([cuts - 1, [-1]])]
+        places = terms[:, None] * self.blocks  # a term's postings of adjacent blocks lie together
+        starts = self.edges[places + firsts].ravel()
+        sizes = self.edges[places + lasts + 1].ravel() - starts
+        ends = np.cumsum(sizes)
+        self.runs += len(sizes)
+        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        found = self.weights[at]
+        found *= np.repeat(weights, sizes.reshape(len(terms), -1).sum(1))
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        return rows, np.bincount(self.rows[at], found, minlength=self.blocks * BLOCK)[rows], len(at)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -101,6 +101,25 @@ def test_postings_of_skipped_blocks_are_not_read():
     assert index.read + index.skipped == asked and index.skipped > asked / 4
 
 
+def test_postings_of_adjacent_blocks_are_read_in_one_run():
+    rng = random.Random(8)
+    rows = [(i, i % 2, tuple(sorted((t, rng.randrange(1, 3)) for t in rng.sample(range(1, 61), 9)))) for i in range(1500)]
+    index = toxicity.Model([f"t{i}" for i in range(60)], rows).index
+    keys = list(index.keys)
+    dense = np.zeros((index.blocks * toxicity.BLOCK, 61))
+    for row, key in enumerate(keys):
+        terms, weights = index.weigh(key)
+        dense[row, terms] = weights
+    for blocks, runs in ((range(index.blocks), 1), ([5, 3, 4], 1), ([9, 2, 1, 7], 3), ([index.blocks - 1], 1)):
+        terms, weights = index.weigh(keys[77])
+        index.runs = 0
+        got, sims, read = index._score(terms, weights, np.array(blocks))
+        assert index.runs == runs * len(terms)
+        assert sorted(got) == sorted(r for b in blocks for r in range(b * toxicity.BLOCK, (b + 1) * toxicity.BLOCK))
+        want = dense[got][:, terms]
+        assert np.allclose(sims, want @ weights) and read == (want > 0).sum()
+
+
 def test_nearly_every_text_has_neighbours(spark, sf_dir):
     docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).join(docs.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id") == F.col("i"))
