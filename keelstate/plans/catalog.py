@@ -11,6 +11,7 @@ from keelstate.operators import replay
 from keelstate.operators.overlay import Overlay
 from keelstate.operators.replay import DELETE, PUT
 from keelstate.schema import CollectionSpec, StateSchema, state
+from keelstate.sources.files import shared_folder
 from keelstate.store import Store, Version
 
 #: The driver tables as collections.
@@ -81,17 +82,21 @@ def read_ordered_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Positions from 1 in a total order: rows are ranged, counted by range, and ranked inside each.
+    """Positions from 1 in a total order: rows are sorted by ranges, and ranges counted.
 
-    The count of each range is one row, so what is summed over is as small as the number of ranges.
+    Sorted rows are stored once: sorted anew, the ranges would be cut from another sample, and rows and counts
+    wouldn't agree. The count of each range is one row, so what is summed over is as small as the number of ranges.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    shared_folder(rows.sparkSession)
+    # The id has the range in its upper bits, the place inside it in the lower 33.
+    stored = rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    ranged = stored.withColumn("__range", F.shiftright("__id", 33))
     counts = ranged.groupBy("__range").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__range", before.alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    placed = ranged.withColumn("__inside", inside).join(starts, "__range")
-    return placed.withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__range", "__before", "__inside")
+    inside = F.col("__id") - F.shiftleft("__range", 33) + 1
+    placed = ranged.join(F.broadcast(starts), "__range")
+    return placed.withColumn(name, (F.col("__before") + inside).cast("long")).drop("__range", "__before", "__id")
 
 
 def read_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +121,17 @@ _MERGED = """merged as (
 _ASKED = "asked as (select c_custkey * 3 as c_custkey from customer)"
 
 
+def _puts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raised and new customers. Past 100,000 customers a key of both is put twice, and deleted ones are put too."""
+    raised = rows.filter("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 100)
+    new = rows.filter("c_custkey < 50").select((F.col("c_custkey") + 100000).alias("c_custkey"), F.lit(1.0).alias("c_acctbal"))
+    return raised, new
+
+
 def _delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Overlay]:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    puts = rows.filter("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 100)
-    new = rows.filter("c_custkey < 50").select((F.col("c_custkey") + 100000).alias("c_custkey"), F.lit(1.0).alias("c_acctbal"))
-    return rows, Overlay(puts.unionByName(new), rows.filter("c_custkey % 10 = 1").select("c_custkey"), ["c_custkey"])
+    raised, new = _puts(rows)
+    return rows, Overlay(raised.unionByName(new), rows.filter("c_custkey % 10 = 1").select("c_custkey"), ["c_custkey"])
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -143,8 +154,11 @@ def overlay_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions by (src, key). The SQL leaves rows of a key that is put twice in any order; here the raised one is first."""
     rows, delta = _delta(spark, sf_dir)
-    return numbered(algebra.iterate(rows, delta), ["src", "c_custkey"], "pos")
+    raised, new = (part.withColumn("__put", F.lit(i)) for i, part in enumerate(_puts(rows)))
+    placed = algebra.iterate(rows.withColumn("__put", F.lit(0)), Overlay(raised.unionByName(new), delta.deletes, delta.keys))
+    return numbered(placed, ["src", "c_custkey", "__put", "c_acctbal"], "pos").drop("__put")
 
 
 def overlay_delete_existed(spark: SparkSession, sf_dir: str) -> DataFrame:

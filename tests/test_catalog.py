@@ -55,3 +55,27 @@ def test_point_reads_reach_the_scan(spark, sf_dir):
 def test_pruned_columns(spark, sf_dir):
     plan = catalog.read_value_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert "c_name" not in plan.split("Physical Plan")[1]
+
+
+def test_positions_past_the_sample_of_ranges(spark):
+    """Ranges are cut from a sample; rows and the counts of their ranges must agree all the same."""
+    small = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = spark.range(20000).selectExpr("id * 7919 % 20011 as k", "id as v")
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        found = {r.k: (r.pos, r.v) for r in catalog.numbered(rows, ["k"], "pos").collect()}
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    want = sorted((i * 7919 % 20011, i) for i in range(20000))
+    assert found == {k: (pos, i) for pos, (k, i) in enumerate(want, 1)}
+
+
+def test_keys_put_twice_are_placed_in_the_order_of_puts(spark, tmp_path):
+    rows = spark.range(0, 100050, 10, 1).selectExpr("id as c_custkey", "-id / 2 as c_acctbal")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    last = sorted(catalog.overlay_iter(spark, str(tmp_path)).filter("c_custkey >= 100000").collect(), key=lambda r: r.pos)
+    want = [(1, k, value) for k in range(100000, 100050, 10) for value in (100 - k / 2, 1.0)]
+    assert [(r.src, r.c_custkey, r.c_acctbal) for r in last] == want
+    assert [r.pos for r in last] == list(range(10001, 10011))
