@@ -11,7 +11,7 @@ import asyncio
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelstate import errors
@@ -34,6 +34,8 @@ APP = state(
     regions=(2, "r_regionkey int", "r_name string", False),
 )
 EVENTS = state(events=(0, "k long", "seq long, event_type string, value double"))
+#: Accounts whose key may come in several rows: these are told by a number.
+COPIES = state(accounts=(0, "c_custkey long, copy int", "c_acctbal double"))
 COUNTERS = state(counters=(0, "user_id long, event_type string", "n long", False))
 EPOCHS = state(events=(0, "event_id long", "epoch long"))
 #: Longer than any query: what is durable before was asked for.
@@ -291,13 +293,28 @@ def write_durable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store.open(spark, APP, path).read()["accounts"]
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Rows with their number among those of their key."""
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("c_custkey").orderBy("c_acctbal")))
+
+
 def commit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The delta of the overlay queries as a durable commit over the whole table."""
+    """The delta of the overlay queries as a durable commit over the whole table.
+
+    A key that the delta puts twice keeps both rows, and one that it deletes and puts is put: all rows that
+    stood under its keys go, then its puts are made.
+    """
     path, (rows, delta) = _folder(spark), _delta(spark, sf_dir)
-    with Store.open(spark, APP, path) as store:
-        store.write(_put(rows))
-        store.write(lambda tx: (tx.accounts.delete_df(delta.deletes), tx.accounts.put_df(delta.puts)))
-    return Store.open(spark, APP, path).read()["accounts"]
+    touched = delta.puts.select("c_custkey").unionByName(delta.deletes)
+
+    def body(tx: Transaction) -> None:
+        tx.accounts.delete_df(tx.accounts.df().join(touched, "c_custkey", "left_semi").select("c_custkey", "copy"))
+        tx.accounts.put_df(_copies(delta.puts))
+
+    with Store.open(spark, COPIES, path) as store:
+        store.write(_put(_copies(rows)))
+        store.write(body)
+    return Store.open(spark, COPIES, path).read()["accounts"].drop("copy")
 
 
 def derived_schema(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,28 @@ def test_keys_put_twice_are_placed_in_the_order_of_puts(spark, tmp_path):
     want = [(1, k, value) for k in range(100000, 100050, 10) for value in (100 - k / 2, 1.0)]
     assert [(r.src, r.c_custkey, r.c_acctbal) for r in last] == want
     assert [r.pos for r in last] == list(range(10001, 10011))
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Customers past key 100,000, some of which the delta of the overlay queries puts twice, or deletes and puts."""
+    folder = str(tmp_path_factory.mktemp("crowded"))
+    rows = spark.range(60).union(spark.range(99990, 100060)).union(spark.range(33330, 33350))
+    rows.selectExpr("id as c_custkey", "double(id - 100020.5) as c_acctbal").write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+def both(spark, folder, name):
+    """Rows of a query over customers alone, and of its SQL."""
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{folder}/customer.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    found = QUERIES[name](spark, folder).select(*columns)
+    return sorted(map(tuple, found.collect()), key=repr), sorted(want.fetchall(), key=repr)
+
+
+def test_commit_of_keys_put_twice(spark, crowded):
+    got, want = both(spark, crowded, "commit_delta")
+    assert got == want
+    assert len(want) == len({k for k, _ in want}) + 5
