@@ -1,6 +1,6 @@
 """The uncommitted delta of a collection as two tables, and its algebra over committed rows.
 
-An overlay's puts and deletes share no key. Both sides of every join are matched by key, so Spark
+The puts and deletes of a transaction share no key. Both sides of every join are matched by key, so Spark
 broadcasts a delta that it finds small and shuffles by key otherwise; no join is repeated.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: 0 for committed rows, 1 for the overlay's own.
 SRC = "src"
-_STATE, _HELD = "__state", "__held"
+_GONE, _OURS, _HELD = "__gone", "__ours", "__held"
 
 
 @dataclass(frozen=True)
@@ -25,13 +25,6 @@ class Overlay:
     deletes: DataFrame
     keys: Sequence[str]
 
-    @property
-    def changes(self) -> DataFrame:
-        """Each changed key with its state (put or delete) and the put's value."""
-        return self.puts.withColumn(_STATE, F.lit("put")).unionByName(
-            self.deletes.select(*self.keys).withColumn(_STATE, F.lit("delete")), allowMissingColumns=True
-        )
-
     def is_empty(self) -> bool:
         return self.puts.isEmpty() and self.deletes.isEmpty()
 
@@ -54,24 +47,28 @@ def iterate(committed: DataFrame, overlay: Overlay) -> DataFrame:
 
 
 def lookup(asked: DataFrame, committed: DataFrame, overlay: Overlay, value: Sequence[str]) -> DataFrame:
-    """Each asked key with `present` and its value: deletes first, then puts, then committed rows."""
+    """Each asked key with `present` and its value: deletes first, then puts, then committed rows.
+
+    That order holds too where a delta that isn't a transaction's both deletes and puts a key.
+    """
     keys = list(overlay.keys)
-    ours = overlay.changes.select(*keys, _STATE, *(F.col(c).alias(f"__put_{c}") for c in value))
+    gone = overlay.deletes.select(*keys, F.lit(True).alias(_GONE))
+    ours = overlay.puts.select(*keys, F.lit(True).alias(_OURS), *(F.col(c).alias(f"__put_{c}") for c in value))
     theirs = committed.select(*keys, F.lit(True).alias(_HELD), *value)
-    joined = asked.select(*keys).join(theirs, keys, "left").join(ours, keys, "left")
-    state = F.col(_STATE)
-    present = F.coalesce(state == "put", F.col(_HELD), F.lit(False))
-    picked = [F.when(state == "put", F.col(f"__put_{c}")).when(state.isNull(), F.col(c)).alias(c) for c in value]
+    joined = asked.select(*keys).join(theirs, keys, "left").join(ours, keys, "left").join(gone, keys, "left")
+    stays = F.col(_GONE).isNull()
+    present = stays & F.coalesce(_OURS, _HELD, F.lit(False))
+    picked = [F.when(stays & F.col(_OURS), F.col(f"__put_{c}")).when(stays, F.col(c)).alias(c) for c in value]
     return joined.select(*keys, present.alias("present"), *picked)
 
 
 def existed(asked: DataFrame, committed: DataFrame, overlay: Overlay) -> DataFrame:
     """Whether a delete of each asked key meets a put of the overlay or a committed row."""
     keys = list(overlay.keys)
-    puts = overlay.puts.select(*keys, F.lit(True).alias("__ours"))
+    puts = overlay.puts.select(*keys, F.lit(True).alias(_OURS))
     theirs = committed.select(*keys, F.lit(True).alias(_HELD))
     joined = asked.select(*keys).join(theirs, keys, "left").join(puts, keys, "left")
-    return joined.select(*keys, F.coalesce("__ours", _HELD, F.lit(False)).alias("existed"))
+    return joined.select(*keys, F.coalesce(_OURS, _HELD, F.lit(False)).alias("existed"))
 
 
 def retain(committed: DataFrame, overlay: Overlay, keep: Column) -> tuple[DataFrame, DataFrame]:

@@ -104,3 +104,9 @@ def test_commit_of_keys_put_twice(spark, crowded):
     got, want = both(spark, crowded, "commit_delta")
     assert got == want
     assert len(want) == len({k for k, _ in want}) + 5
+
+
+def test_presence_of_keys_deleted_and_put(spark, crowded):
+    got, want = both(spark, crowded, "overlay_contains")
+    assert got == want
+    assert {(100011, False), (100014, True), (100020, True)} <= set(want)
