@@ -110,3 +110,9 @@ def test_presence_of_keys_deleted_and_put(spark, crowded):
     got, want = both(spark, crowded, "overlay_contains")
     assert got == want
     assert {(100011, False), (100014, True), (100020, True)} <= set(want)
+
+
+def test_values_of_keys_deleted_and_put(spark, crowded):
+    got, want = both(spark, crowded, "overlay_get")
+    assert got == want
+    assert (100011, None) in want and [v for k, v in want if k == 100020] == [1.0, 99.5]
